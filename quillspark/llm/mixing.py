@@ -57,8 +57,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     before = filling.rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("_caps", F.coalesce(F.sum("_cap").over(before), F.lit(0.0))).withColumn("_left", F.sum("_w").over(filling.rowsBetween(0, Window.unboundedFollowing)))
     s = s.withColumn("_level", (F.col("_total") - F.col("_caps")) / F.col("_left"))
-    # The level that holds is the first one at which the next source isn't filled.
-    s = s.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every))
+    # Levels rise up to the first at which the next source isn't filled, which holds, and fall after it.
+    s = s.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every))
     return s.select("source", "source_size", F.coalesce(F.least("_cap", F.col("_w") * F.col("_level")), F.col("_cap")).cast("double").alias("target"))
 
 
