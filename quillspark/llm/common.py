@@ -172,12 +172,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
-def with_ordinal(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Add ``ord``: 0 for a key's first row, 1, 2, ... for rows that repeat the key."""
+def with_ordinal(docs: DataFrame) -> DataFrame:
+    """``k, text, ord, doc_id``: a key that is never null, and 0 for a key's first row, 1, 2, ... for rows that repeat it.
+
+    All later joins are on ``k`` alone, so the one exchange by it serves them all.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(F.xxhash64("text"), "text")
-    return docs.select(key, "text").withColumn("ord", F.row_number().over(w) - 1)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("k"), "text", "doc_id")
+    w = Window.partitionBy("k").orderBy(F.xxhash64("text", "doc_id"), "text")
+    return keyed.select("k", "text", (F.row_number().over(w) - 1).alias("ord"), "doc_id")
 
 
 def crc_fold(key: str = "doc_id"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, mixing, shards
+from . import matroska, mixing, partenum, shards, substrings
 from .common import table
 
 
@@ -14,6 +14,16 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their 4-word shingles."""
+    return partenum.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are left when all windows of 35 words that start elsewhere too are gone."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), width=35).drop("ord")
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards whose row counts are at most one apart."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -27,7 +37,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op8_shards, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op4_jaccard_join, op5_substring_dedup, op8_shards, op9_mixing)}
 
 #: Queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {}
