@@ -98,10 +98,12 @@ def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     order = Window.orderBy(F.col("source").isNull(), "source")
     t = t.withColumn("_end", F.sum("_slots").over(order)).withColumn("_all", F.sum("_slots").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     t = t.withColumn("_source_no", F.row_number().over(order))
-    # Tickets of a source come in pieces of 65536, so that no task explodes a whole source.
-    piece = F.explode(F.expr("IF(_slots > 0, sequence(0L, (_slots - 1) div 65536), array())")).alias("_piece")
-    t = t.select("*", piece).repartition("_source_no", "_piece")
-    ticket = F.explode(F.expr("sequence(_piece * 65536, least(_slots, (_piece + 1) * 65536) - 1)")).alias("_rank")
+    # Tickets of a source come in pieces of 8192, so that no task explodes a whole source.
+    piece = F.explode(F.expr("IF(_slots > 0, sequence(0L, (_slots - 1) div 8192), array())")).alias("_piece")
+    # a fixed number, so that a few hundred short rows, each of many tickets, aren't dealt to one task
+    width = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = t.select("*", piece).repartition(width, "_source_no", "_piece")
+    ticket = F.explode(F.expr("sequence(_piece * 8192, least(_slots, (_piece + 1) * 8192) - 1)")).alias("_rank")
     t = t.select("source", "_source_no", "_blocks", "_slots", "_end", "_all", ticket)
     place_ = permute(F.col("_end") - F.col("_slots") + F.col("_rank"), F.col("_all"), F.lit(seed))
     source_seed = F.xxhash64(F.lit(seed + 7), "_source_no")
@@ -131,7 +133,8 @@ def mixed_counts(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFram
     # Draws of a block are counted before the join: one row for each block on either side's key.
     drawn = slots(targets, block, seed=seed).groupBy("source", "block").agg(F.count("*").alias("_n")).withColumnsRenamed({"source": "_source", "block": "_block"})
     # A row whose words are all in blocks [a, b]: its row key is its place in the stream.
-    got = pieces(placed, block).join(drawn, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
+    # Both sides grow with the words: never broadcast, whatever the estimates say.
+    got = pieces(placed, block).hint("merge").join(drawn, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
     got = got.groupBy("source", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.coalesce("_n", F.lit(0)) * F.col("words")).alias("taken"))
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
     cols = ["doc_id", "size", "source_size", "target", "taken"]
