@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, mixing, partenum, shards, substrings
+from . import language, matroska, mixing, partenum, rules, shards, substrings, toxicity
 from .common import table
 
 
@@ -14,6 +14,12 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and the verdict of a list learned from `labels`."""
+    judged = rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *rules.BASE, "base_failed", "kept", "rule")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their 4-word shingles."""
     return partenum.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
@@ -24,6 +30,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), width=35).drop("ord")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity by a model fitted on `labels` of the training fold."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards whose row counts are at most one apart."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -37,7 +48,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op4_jaccard_join, op5_substring_dedup, op8_shards, op9_mixing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language by a model fitted on the training fold."""
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_matroska, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op7_toxicity, op8_shards, op9_mixing, op10_language_id)}
 
 #: Queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {}
