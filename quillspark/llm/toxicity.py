@@ -1,7 +1,9 @@
 """Toxicity: bags of subword embeddings, averaged, into a linear softmax.
 
 A word is the mean of the embeddings of its hashed character n-grams; a segment of
-consecutive words is the mean of its words; a softmax over two classes reads the
+consecutive words is the mean of its distinct words, with zero vectors in the place
+of repeated and missing ones, so that one word said over and over doesn't outweigh
+the rest; a softmax over two classes reads the
 segment. A text scores as its worst segment. Embeddings and softmax are trained
 jointly in numpy: all segments of a text labelled 0 count as 0, the segment of a
 text labelled 1 that scores highest counts as 1. A misspelling never seen shares
@@ -17,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, ragged
 
 #: Most labelled rows that the model is fitted on: those of the training fold with the least hash.
 MAX_LABELLED = 6_000
 #: Words in a segment, n-gram lengths, hash buckets, dimensions.
 SEGMENT, GRAMS, BUCKETS, DIM = 16, (3, 4, 5), 1 << 16, 8
-#: Training: epochs, of which so many take all segments of a positive text, learning rate and weight decay.
-EPOCHS, WARM, RATE, DECAY = 24, 4, 0.05, 1e-5
+#: Training: epochs, of which so many take all segments of a positive text, texts in a batch, rate and weight decay; one text in HOLD sets the offset.
+EPOCHS, WARM, BATCH, RATE, DECAY, HOLD = 6, 1, 96, 0.02, 1e-5, 5
 #: Word scores that a worker remembers before it starts afresh.
 CACHE = 400_000
 
@@ -67,10 +69,9 @@ def score(text: str | None, model: Model, scores: dict) -> float:
     words = words_of(text)
     if not words:
         return 0.0
-    s = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
-    at = _segment_starts(len(s))
-    means = np.add.reduceat(s, at) / np.diff(np.append(at, len(s)))
-    return float(1 / (1 + np.exp(-(means.max() + model.bias))))
+    get, edges = scores.__getitem__, _segment_starts(len(words)).tolist()
+    worst = max(sum(map(get, set(words[a:b]))) for a, b in zip(edges, [*edges[1:], len(words)])) / SEGMENT
+    return float(1 / (1 + np.exp(-max(-60.0, min(60.0, worst + model.bias)))))
 
 
 def _segment_starts(n: int) -> np.ndarray:
@@ -85,71 +86,79 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
     if not len(toxic) or toxic.all() or not toxic.any():
         return Model(np.zeros(BUCKETS), 3.0 if len(toxic) and toxic.all() else -3.0)
     vocab: dict[str, int] = {}
-    seg_words, seg_of, seg_doc, n_seg = [], [], [], 0
+    seg_words, seg_of, doc_no = [], [], []
     for d, t in enumerate(texts):
         ids = [vocab.setdefault(w, len(vocab)) for w in words_of(t)]
-        if not ids:
-            continue
-        at = _segment_starts(len(ids))
-        seg_words.append(np.array(ids))
-        seg_of.append(np.repeat(np.arange(len(at)) + n_seg, np.diff(np.append(at, len(ids)))))
-        seg_doc.append(np.full(len(at), d))
-        n_seg += len(at)
-    word, seg, doc = np.concatenate(seg_words), np.concatenate(seg_of), np.concatenate(seg_doc)
+        if ids:
+            at = _segment_starts(len(ids)).tolist()
+            parts = [sorted(set(ids[a:b])) for a, b in zip(at, [*at[1:], len(ids)])]
+            seg_words.append(np.array([w for part in parts for w in part]))
+            seg_of.append(np.cumsum([0, *(len(part) for part in parts[:-1])]))
+            doc_no.append(d)
+    if not doc_no:
+        return Model(np.zeros(BUCKETS), -3.0)
     lists = [grams(w) for w in vocab]
-    gram = np.concatenate(lists)
     n_gram = np.array([len(x) for x in lists])
-    gram_at = np.concatenate([[0], np.cumsum(n_gram)[:-1]])
-    seg_at = np.searchsorted(seg, np.arange(n_seg))
-    seg_len = np.bincount(seg, minlength=n_seg)
-    # dense buckets for the grams in use
-    used, gram = np.unique(gram, return_inverse=True)
+    gram_off = np.concatenate([[0], np.cumsum(n_gram)])
+    used, gram = np.unique(np.concatenate(lists), return_inverse=True)  # dense buckets for the grams in use
     emb = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    y = toxic[doc].astype(int)
-    per_doc = np.bincount(doc, minlength=len(texts))
-    balance = (~toxic).sum() / toxic.sum()
-    order_gram = np.argsort(gram, kind="stable")
-    gram_word = np.repeat(np.arange(len(vocab)), n_gram)[order_gram]
-    gram_first = np.searchsorted(gram[order_gram], np.arange(len(used)))
-    order_word = np.argsort(word, kind="stable")
-    word_seg = seg[order_word]
-    word_first = np.searchsorted(word[order_word], np.arange(len(vocab)))
-    state = [np.zeros_like(p) for p in (emb, out, bias) for _ in range(2)]
+    params = (emb, out, bias)
+    state = [np.zeros_like(p) for p in params for _ in range(2)]
+    train = np.arange(len(seg_words)) % HOLD != HOLD - 1
+    weigh = float(np.sqrt((~toxic).sum() / toxic.sum()))
+    step = 0
     for epoch in range(EPOCHS):
-        wv = np.add.reduceat(emb[gram], gram_at) / n_gram[:, None]
-        sv = np.add.reduceat(wv[word], seg_at) / seg_len[:, None]
-        logit = sv @ out + bias
-        p = np.exp(logit - logit.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        weight = 1.0 / per_doc[doc]
-        if epoch >= WARM:
-            best = np.full(len(texts), -1.0)
-            np.maximum.at(best, doc, p[:, 1])
-            weight = np.where(y == 1, (p[:, 1] == best[doc]) * 1.0, np.maximum(weight, 0.05))
-        weight = np.where(y == 1, weight * balance, weight)
-        g = p.copy()
-        g[np.arange(n_seg), y] -= 1
-        g *= (weight / weight.sum())[:, None]
-        g = g.astype(np.float32)
-        gs = g @ out.T / seg_len[:, None]
-        gw = np.add.reduceat(gs[word_seg], word_first) / n_gram[:, None]
-        ge = np.add.reduceat(gw[gram_word], gram_first) + DECAY * emb / len(used)
-        for i, (param, grad) in enumerate(((emb, ge), (out, sv.T @ g), (bias, g.sum(0)))):
-            m, v = state[2 * i], state[2 * i + 1]
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            param -= RATE * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.99 ** (epoch + 1))) + 1e-8)
+        order = rng.permutation(np.flatnonzero(train))
+        for at in range(0, len(order), BATCH):
+            batch = order[at : at + BATCH]
+            words, word = np.unique(np.concatenate([seg_words[d] for d in batch]), return_inverse=True)
+            n_segs = np.array([len(seg_of[d]) for d in batch])
+            seg_at = np.concatenate([seg_of[d] + o for d, o in zip(batch, np.cumsum([0, *(len(seg_words[d]) for d in batch[:-1])]))])
+            doc = np.repeat(np.arange(len(batch)), n_segs)
+            y = toxic[np.array(doc_no)[batch]].astype(int)[doc]
+            g_idx = gram[ragged(gram_off[words], n_gram[words])]
+            g_at = np.concatenate([[0], np.cumsum(n_gram[words])[:-1]])
+            wv = np.add.reduceat(emb[g_idx], g_at) / n_gram[words][:, None]
+            seg_len = np.diff(np.append(seg_at, len(word)))
+            sv = np.add.reduceat(wv[word], seg_at) / SEGMENT
+            logit = sv @ out + bias
+            p = np.exp(logit - logit.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            if epoch < WARM:
+                weight = 1.0 / n_segs[doc]
+            else:
+                best = np.full(len(batch), -1.0)
+                np.maximum.at(best, doc, p[:, 1])
+                top = p[:, 1] == best[doc]
+                weight = np.where(y == 1, top * 1.0, np.where(top, 1.0, 0.05))
+            weight = np.where(y == 1, weight * weigh, weight)
+            g = p.copy()
+            g[np.arange(len(y)), y] -= 1
+            g = (g * (weight / len(batch))[:, None]).astype(np.float32)
+            gs = (g @ out.T) / SEGMENT
+            gw = np.zeros((len(words), DIM), np.float32)
+            by_word = np.argsort(word, kind="stable")
+            first = np.searchsorted(word[by_word], np.arange(len(words)))
+            gw = np.add.reduceat(np.repeat(gs, seg_len, axis=0)[by_word], first) / n_gram[words][:, None]
+            spread = np.repeat(gw, n_gram[words], axis=0)
+            ge = np.stack([np.bincount(g_idx, spread[:, i], len(used)) for i in range(DIM)], 1).astype(np.float32) + DECAY * emb
+            step += 1
+            for i, (param, grad) in enumerate(zip(params, (ge, sv.T @ g, g.sum(0)))):
+                m, v = state[2 * i], state[2 * i + 1]
+                m += 0.1 * (grad - m)
+                v += 0.01 * (grad * grad - v)
+                param -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     gram_scores = np.zeros(BUCKETS)
-    diff = out[:, 1] - out[:, 0]
-    gram_scores[used] = emb @ diff
-    # The classes were weighed evenly and texts are scored by their worst segment: set the offset where the training texts are told apart best.
+    gram_scores[used] = emb @ (out[:, 1] - out[:, 0])
+    # Texts are scored by their worst segment: set the offset where the texts held back are told apart best.
     model = Model(gram_scores, 0.0)
     cache = _Scores(model)
-    raw = np.array([np.log(max(s, 1e-12) / max(1 - s, 1e-12)) if s else -30.0 for s in (score(t, model, cache) for t in texts)])
+    back = np.array(doc_no)[~train] if (toxic[np.array(doc_no)[~train]]).any() else np.array(doc_no)
+    raw = np.array([np.log(max(s, 1e-12) / max(1 - s, 1e-12)) for s in (score(texts[d], model, cache) for d in back)])
     order = np.argsort(raw, kind="stable")
-    r, t = raw[order], toxic[order]
+    r, t = raw[order], toxic[back][order]
     errors = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum(~t[::-1])[::-1], [0]])
     cuts = np.concatenate([[r[0] - 1], (r[1:] + r[:-1]) / 2, [r[-1] + 1]])
     model.bias = -float(np.median(cuts[errors == errors.min()]))
