@@ -46,9 +46,11 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet under the shared folder and read it back.
 
     The files outlive any executor; Parquet keeps them a fraction of the size of
-    an RDD checkpoint.
+    an RDD checkpoint. The shuffle files of the query that wrote them are removed
+    as it ends, so a job's stages don't add up on the executors' disks.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{checkpoint_dir(spark)}/quillspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -172,16 +174,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
-def with_ordinal(docs: DataFrame) -> DataFrame:
-    """``k, text, ord, doc_id``: a key that is never null, and 0 for a key's first row, 1, 2, ... for rows that repeat it.
+#: Stands for a missing id among keys.
+NO_ID = -(1 << 63)
 
-    All later joins are on ``k`` alone, so the one exchange by it serves them all.
-    """
+
+def with_ordinal(docs: DataFrame) -> DataFrame:
+    """``k, text, ord``: the id (NO_ID if null), and 0 for its first row, 1, 2, ... for rows that repeat it."""
     from pyspark.sql import Window
 
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("k"), "text", "doc_id")
-    w = Window.partitionBy("k").orderBy(F.xxhash64("text", "doc_id"), "text")
-    return keyed.select("k", "text", (F.row_number().over(w) - 1).alias("ord"), "doc_id")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("k"), "text")
+    w = Window.partitionBy("k").orderBy(F.xxhash64("text"), "text")
+    return keyed.select("k", "text", (F.row_number().over(w) - 1).alias("ord"))
 
 
 def crc_fold(key: str = "doc_id"):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix64, ragged, window_hashes, window_sums, with_ordinal
+from .common import NO_ID, U64, chunks, durable, mix64, window_hashes, window_sums, with_ordinal
 
 # Perfect difference sets, period to positions.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -132,7 +132,7 @@ def _windows(width: int, v: int):
 
 
 def _finish(width: int, v: int, keep_text: bool):
-    """(k, text, ord, hits, misses, doc_id) to the result rows."""
+    """(k, text, ord, hits, misses) to the result rows."""
 
     def run(batches):
         for batch in batches:
@@ -160,10 +160,10 @@ def _finish(width: int, v: int, keep_text: bool):
                     sha.append(hashlib.sha256(joined).hexdigest())
                     if keep_text:
                         kept.append(joined if removed[d] else raw[tokens.off[d] : tokens.off[d + 1]])
-                cols = [batch.column(5)[a:b], batch.column(2)[a:b], pa.array(tokens.count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha)]
+                cols = [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(tokens.count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha)]
                 if keep_text:
                     cols.append(pa.array(kept, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ord", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, names=["k", "ord", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(cols)])
 
     return run
 
@@ -179,20 +179,18 @@ def remove_repeats(docs: DataFrame, width: int = 35, keep_text: bool = False) ->
     aren't read; an empty table gives no rows.
     """
     v = period_for(width)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     base = with_ordinal(docs)
-    anchors = base.select("k", "text", "ord").mapInArrow(_anchors(width, v), f"key bigint, k bigint, place bigint, known boolean")
+    anchors = base.mapInArrow(_anchors(width, v), "key bigint, k bigint, place bigint, known boolean")
     w = Window.partitionBy("key")
     hits = anchors.withColumn("_n", F.count("*").over(w)).where("known or _n > 1")
-    hits = hits.groupBy("k").agg(F.collect_list("place").alias("hits"))
-    with_hits = _left(base, hits)
-    windows = with_hits.select("k", "text", "ord", "hits").mapInArrow(_windows(width, v), f"key bigint, check int, k bigint, place bigint, known boolean")
+    # Places of one document at most come together in a list.
+    hits = durable(hits.groupBy("k").agg(F.collect_list("place").alias("hits")))
+    windows = base.join(hits, "k").mapInArrow(_windows(width, v), "key bigint, check int, k bigint, place bigint, known boolean")
     w = Window.partitionBy("key", "check")
     misses = windows.withColumn("_n", F.count("*").over(w)).where("not known and _n = 1")
-    misses = misses.groupBy("k").agg(F.collect_list("place").alias("misses"))
-    schema = f"doc_id {kind}, ord int, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    return _left(with_hits, misses).select("k", "text", "ord", "hits", "misses", "doc_id").mapInArrow(_finish(width, v, keep_text), schema)
-
-
-def _left(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    return docs.join(lists, "k", "left")
+    misses = durable(misses.groupBy("k").agg(F.collect_list("place").alias("misses")))
+    found = hits.join(misses, "k", "left")
+    out = base.join(found, "k", "left").select("k", "text", "ord", "hits", "misses")
+    schema = "k bigint, ord int, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
+    out = out.mapInArrow(_finish(width, v, keep_text), schema)
+    return out.select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), *out.columns[1:])

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import crc_fold, ragged
 
 #: Most labelled rows that the model is fitted on: those of the training fold with the least hash.
-MAX_LABELLED = 6_000
+MAX_LABELLED = 8_000
 #: Words in a segment, n-gram lengths, hash buckets, dimensions.
-SEGMENT, GRAMS, BUCKETS, DIM = 16, (3, 4, 5), 1 << 16, 8
+SEGMENT, GRAMS, BUCKETS, DIM = 8, (3, 4, 5), 1 << 16, 8
 #: Training: epochs, of which so many take all segments of a positive text, texts in a batch, rate and weight decay; one text in HOLD sets the offset.
-EPOCHS, WARM, BATCH, RATE, DECAY, HOLD = 6, 1, 96, 0.02, 1e-5, 5
+EPOCHS, WARM, BATCH, RATE, DECAY, HOLD = 8, 1, 96, 0.02, 1e-5, 5
 #: Word scores that a worker remembers before it starts afresh.
 CACHE = 400_000
 
