@@ -129,16 +129,31 @@ def signatures(h: np.ndarray, off: np.ndarray, shape: Shape) -> tuple[np.ndarray
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
-def sketches(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Parity sketches: bit i of a set is the parity of its elements that hash to i.
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketch of a set of n: a power of two, SKETCH at least, 4 bits an element."""
+    need = np.maximum(SKETCH, -(-4 * n // 64))
+    return 1 << np.ceil(np.log2(need)).astype(np.int64)
 
-    Two sketches differ in at most as many bits as the sets do in elements.
+
+def sketches(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches, concatenated, and their n+1 offsets in words.
+
+    Bit i of a set's sketch is the parity of its elements that hash to i. Two
+    sketches of one length differ in at most as many bits as the sets do in
+    elements; one is brought to half its length by adding its halves (xor).
     """
-    n = len(off) - 1
-    doc = np.repeat(np.arange(n), np.diff(off))
-    bit = (mix64(h ^ U64(0xC2B2AE3D27D4EB4F)) % U64(SKETCH * 64)).astype(np.int64)
-    odd = (np.bincount(doc * SKETCH * 64 + bit, minlength=n * SKETCH * 64) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, SKETCH * 64), axis=1, bitorder="little").view(np.int64)
+    sizes = np.diff(off)
+    words = sketch_words(sizes)
+    at = np.concatenate([[0], np.cumsum(words)])
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (mix64(h ^ U64(0xC2B2AE3D27D4EB4F)) % (words[doc].astype(U64) * U64(64))).astype(np.int64)
+    odd = (np.bincount(at[doc] * 64 + bit, minlength=int(at[-1]) * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64), at
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch brought down to ``words``."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
 SKETCH_COLS = [f"s{i}" for i in range(SKETCH)]
@@ -153,9 +168,10 @@ def _info(width: int):
                 h, off = shingle_sets(tokens, width)
                 doc = np.repeat(np.arange(b - a), np.diff(off))
                 sets = [_sums(doc, mix64(h ^ U64(seed)), b - a).view(np.int64) for seed in (0x1B873593, 0xCC9E2D51)]
-                sk = sketches(h, off)
-                cols = [batch.column(0)[a:b], pa.array(np.diff(off).astype(np.int64)), *map(pa.array, sets), *(pa.array(np.ascontiguousarray(sk[:, i])) for i in range(SKETCH))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_shingles", "h0", "h1", *SKETCH_COLS])
+                sk, at = sketches(h, off)
+                short = np.stack([fold(sk[at[i] : at[i + 1]], SKETCH) for i in range(b - a)])
+                cols = [batch.column(0)[a:b], pa.array(np.diff(off).astype(np.int64)), *map(pa.array, sets), *(pa.array(np.ascontiguousarray(short[:, i])) for i in range(SKETCH)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sk))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_shingles", "h0", "h1", *SKETCH_COLS, "sketch"])
 
     return run
 
@@ -182,17 +198,38 @@ def _emit(width: int, shape: Shape):
     return run
 
 
-def _overlap(shape: Shape, width: int):
+def _values(col) -> list[np.ndarray]:
+    """The rows of a list<bigint> column as arrays."""
+    off, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+    return [values[off[i] : off[i + 1]] for i in range(len(col))]
+
+
+def _near(shape: Shape):
+    """Arrow function over (a, b, na, nb, sketches): keeps pairs that may be at the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            most = shape.most_apart(na, nb)
+            fits = 100 * np.minimum(na, nb) >= shape.num * np.maximum(na, nb)
+            keep = []
+            for ok, m, x, y in zip(fits, most, _values(batch.column(4)), _values(batch.column(5))):
+                if ok:
+                    n = min(len(x), len(y))
+                    ok = int(np.bitwise_count(fold(x, n) ^ fold(y, n)).sum()) <= m
+                keep.append(bool(ok))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _overlap(shape: Shape):
     """Arrow function over pairs with both texts' sets: keeps those at the threshold."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            sa, sb = batch.column(2), batch.column(3)
-            oa, ob = sa.offsets.to_numpy(), sb.offsets.to_numpy()
-            va, vb = sa.values.to_numpy(zero_copy_only=False), sb.values.to_numpy(zero_copy_only=False)
-            for i in range(batch.num_rows):
-                x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
+            for x, y in zip(_values(batch.column(2)), _values(batch.column(3))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= shape.num * (len(x) + len(y) - both) and both > 0)
             keep = pa.array(keep, pa.bool_())
@@ -221,11 +258,18 @@ def _close(a: str, b: str, shape: Shape):
     return (100 * F.least(na, nb) >= shape.num * F.greatest(na, nb)) & (bits <= F.floor((na + nb) * (100 - shape.num) / (100 + shape.num)))
 
 
-def _verified(pairs: DataFrame, held: DataFrame, shape: Shape, width: int) -> DataFrame:
+def _possible(pairs: DataFrame, info: DataFrame, shape: Shape) -> DataFrame:
+    """The ``pairs`` (a, b) that their sizes and sketches leave possible."""
+    x = info.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("x"))
+    y = info.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_near(shape), "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, shape: Shape) -> DataFrame:
     """The ``pairs`` (a, b) that link, by their texts' sets; ``held`` has id, elements."""
     x = held.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     y = held.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlap(shape, width), "a bigint, b bigint")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlap(shape), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -241,7 +285,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     shape = Shape(percent)
     keyed = docs.select(F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text"))).cast("bigint").alias("id"), "text")
     n_sk = ", ".join(f"{c} bigint" for c in SKETCH_COLS)
-    info = durable(keyed.mapInArrow(_info(width), f"id bigint, n_shingles bigint, h0 bigint, h1 bigint, {n_sk}"))
+    info = durable(keyed.mapInArrow(_info(width), f"id bigint, n_shingles bigint, h0 bigint, h1 bigint, {n_sk}, sketch array<bigint>"))
     full = info.where("n_shingles > 0")
     reps = full.groupBy("h0", "h1").agg(F.min("id").alias("rep"))
     member = full.select("id", "h0", "h1").join(reps, ["h0", "h1"]).select("id", "rep")
@@ -253,19 +297,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     # Equal sets become their representative; what then has one member is done.
     shared = durable(shared.join(member, "id").select("sig", F.col("rep").alias("id")).distinct())
     hubs = shared.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("sig", "hub")
-    sided = info.drop("h0", "h1")
+    sided = info.drop("h0", "h1", "sketch")
     stars = shared.join(hubs, "sig").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    near = stars.join(sided.alias("x"), F.col("a") == F.col("x.id")).join(sided.alias("y"), F.col("b") == F.col("y.id")).where(_close("x", "y", shape)).select("a", "b")
-    near = durable(near)
+    near = durable(_possible(stars, info, shape))
 
     # Sets of whatever may take part in a check.
-    sharing = shared.join(hubs, "sig", "left_semi").select("id").distinct()
+    sharing = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "id")
     held = durable(keyed.join(sharing, "id", "left_semi").mapInArrow(_sets(width), "id bigint, elements array<bigint>"))
     # First one pair for each document, then only those that still join two components.
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = durable(_verified(first, held, shape, width))
+    links = durable(_verified(first, held, shape))
     found = components(links)
-    links2 = _verified(_apart(near, found), held, shape, width)
+    links2 = _verified(_apart(near, found), held, shape)
     links = durable(links.union(links2))
     found = components(links)
 
@@ -275,9 +318,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     now = durable(now.join(split, "sig", "left_semi").join(sided, "id"))
     x, y = now.alias("x"), now.alias("y")
     cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _close("x", "y", shape)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    tried = near.select("a", "b")
-    cross = cross.join(tried, ["a", "b"], "left_anti")
-    links = links.union(_verified(cross, held, shape, width))
+    cross = durable(_possible(cross.join(near, ["a", "b"], "left_anti"), info, shape))
+    late = cross.select("a").union(cross.select("b")).distinct().withColumnRenamed("a", "id")
+    late = durable(keyed.join(late, "id", "left_semi").mapInArrow(_sets(width), "id bigint, elements array<bigint>")) if not cross.isEmpty() else held
+    links = links.union(_verified(cross, late, shape))
     # Members of one set belong together; ids are compared as the contract asks.
     links = links.union(member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     found = components(links)
