@@ -139,3 +139,26 @@ def mixed_counts(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFram
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
     cols = ["doc_id", "size", "source_size", "target", "taken"]
     return got.select(*cols).unionByName(none.select(*cols))
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """The mix itself, as rows of ``docs``: a row for each document's part in each drawn block.
+
+    Blocks and slots are joined by (source, block). A part keeps its document's
+    columns; ``text`` is its words with the white space between them, whole where
+    the document lies in one block, and ``n_chars`` counts the part. Rows without a
+    word aren't drawn. Columns of the internal names ``_block`` and the like aren't
+    expected.
+    """
+    cols = docs.columns
+    placed = place(docs, seed)
+    targets = placed.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    cut = pieces(placed, block)
+    # words with what follows them; the first takes what stands before it too
+    words = F.regexp_extract_all("text", F.lit(f"^[\\x20\\x09-\\x0D]*{WORD_RE}[\\x20\\x09-\\x0D]*|{WORD_RE}[\\x20\\x09-\\x0D]*"), F.lit(0))
+    part = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("from") + 1).cast("int"), F.col("words").cast("int")), ""))
+    cut = cut.withColumn("_part", part).withColumnRenamed("block", "_block")
+    drawn = slots(targets, block, seed=seed).select("shard", "slot", F.col("source").alias("_source"), F.col("block").alias("_drawn")).hint("merge")
+    mix = drawn.join(cut, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_drawn") == F.col("_block")))
+    out = {"text": F.col("_part"), "n_chars": F.length("_part").cast("bigint")}
+    return mix.select(*(out[c].alias(c) if c in out else F.col(c) for c in cols))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, matroska, mixing, partenum, rules, shards, substrings, toxicity
+from . import gumbel, htmltext, language, matroska, mixing, partenum, rules, shards, substrings, toxicity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and the verdict of a list learned from `labels`."""
     judged = rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -30,6 +35,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), width=35).drop("ord")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every whole text, without replacement."""
+    return gumbel.sampled(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's toxicity by a model fitted on `labels` of the training fold."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -53,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op7_toxicity, op8_shards, op9_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_html_text, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op6_sentencepiece, op7_toxicity, op8_shards, op9_mixing, op10_language_id)}
 
 #: Queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {}
