@@ -287,11 +287,11 @@ def _cut(phi: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
 
 
 class Sample:
-    __slots__ = ("edges", "inclusion", "log_prob", "lp", "sizes", "value")
+    __slots__ = ("edges", "log_inclusion", "log_prob", "lp", "sizes", "value")
 
     def __init__(self, edges, sizes, lp, value) -> None:
         self.edges, self.sizes, self.lp, self.value = edges, sizes, lp, value
-        self.log_prob, self.inclusion = float(lp.sum()), 1.0
+        self.log_prob, self.log_inclusion = float(lp.sum()), 0.0
 
 
 def sample(texts: list[str], seeds: np.ndarray, lat: Lattices, k: int) -> list[list[Sample]]:
@@ -321,7 +321,8 @@ def sample(texts: list[str], seeds: np.ndarray, lat: Lattices, k: int) -> list[l
                 best = max(range(len(agenda[d])), key=lambda i: agenda[d][i][0])
                 if turn == k:  # not drawn: it bounds the sample
                     for s in found[d]:
-                        s.inclusion = float(-np.expm1(-np.exp(min(700.0, s.log_prob - agenda[d][best][0]))))
+                        x = s.log_prob - agenda[d][best][0]
+                        s.log_inclusion = x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 30.0)))))
                 else:
                     todo.append((d, *agenda[d].pop(best)))
         if not todo:
@@ -374,15 +375,15 @@ def _split(agenda: list, found: list[Sample], since: int, seed, turn: int, k: in
         agenda.append((float(value[j]), me, w, own if w == since else [path(w)]))
 
 
-SCHEMA = "sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids array<int>, round_trip boolean"
+SCHEMA = "sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids array<int>, round_trip boolean"
 
 
 def sampled(docs: DataFrame, model_file: str = MODEL_FILE, k: int = SAMPLES, alpha: float = ALPHA, key: str = "doc_id", seed: int = 0) -> DataFrame:
     """Per row of ``docs`` up to ``k`` rows: ``key`` and SCHEMA; whole texts.
 
-    Sample 0 is the first drawn. ``inclusion`` is the probability that a
-    segmentation is among k drawn, given the search's bound; 1 where a text has no
-    more than k. Null and empty texts have one segmentation, the empty one.
+    Sample 0 is the first drawn. ``log_inclusion`` is the log of
+    the probability that a segmentation is among k drawn, given the search's bound;
+    0 where a text has no more than k. Null and empty texts have one segmentation, the empty one.
     ``round_trip`` says that the ids decode to the text. Rows with equal keys draw
     alike, so repeated rows repeat; other columns aren't read. The model file must
     lie at the same path on all executors, or be added with ``addFile`` and named
@@ -405,7 +406,7 @@ def sampled(docs: DataFrame, model_file: str = MODEL_FILE, k: int = SAMPLES, alp
                     for i, s in enumerate(found):
                         x = lat.ids(s.edges)
                         ids.append(x)
-                        rows.append((d, i, len(x), s.log_prob, s.value, s.inclusion, decode(x.tolist(), vocab) == texts[d]))
+                        rows.append((d, i, len(x), s.log_prob, s.value, s.log_inclusion, decode(x.tolist(), vocab) == texts[d]))
                 cols = list(zip(*rows))
                 off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(off, pa.array(np.concatenate(ids).astype(np.int32)))
