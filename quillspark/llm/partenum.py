@@ -35,8 +35,8 @@ from .graph import components
 STRONG, BAND_RATIO = 2, 1.4
 #: Parts of a partition and how many of them a signature leaves out.
 PARTS, LEFT_OUT = 1, 0
-#: 64-bit words of a sketch.
-SKETCH = 16
+#: 64-bit words of a short sketch; sets above LONG elements also have one of WIDE words.
+SKETCH, LONG, WIDE = 16, 1000, 64
 _ROW_LIMIT = 1 << 17
 
 
@@ -170,8 +170,9 @@ def _info(width: int):
                 sets = [_sums(doc, mix64(h ^ U64(seed)), b - a).view(np.int64) for seed in (0x1B873593, 0xCC9E2D51)]
                 sk, at = sketches(h, off)
                 short = np.stack([fold(sk[at[i] : at[i + 1]], SKETCH) for i in range(b - a)])
-                cols = [batch.column(0)[a:b], pa.array(np.diff(off).astype(np.int64)), *map(pa.array, sets), *(pa.array(np.ascontiguousarray(short[:, i])) for i in range(SKETCH)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sk))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_shingles", "h0", "h1", *SKETCH_COLS, "sketch"])
+                wide = [fold(sk[at[i] : at[i + 1]], WIDE) if at[i + 1] - at[i] >= WIDE else None for i in range(b - a)]
+                cols = [batch.column(0)[a:b], pa.array(np.diff(off).astype(np.int64)), *map(pa.array, sets), *(pa.array(np.ascontiguousarray(short[:, i])) for i in range(SKETCH)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sk)), pa.array(wide, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_shingles", "h0", "h1", *SKETCH_COLS, "sketch", "wide"])
 
     return run
 
@@ -255,7 +256,10 @@ def _close(a: str, b: str, shape: Shape):
     """Condition that sketches and sizes of sides ``a`` and ``b`` leave a link possible."""
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     bits = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH_COLS[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (100 * F.least(na, nb) >= shape.num * F.greatest(na, nb)) & (bits <= F.floor((na + nb) * (100 - shape.num) / (100 + shape.num)))
+    most = F.floor((na + nb) * (100 - shape.num) / (100 + shape.num))
+    wa, wb = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+    apart = F.aggregate(F.zip_with(wa, wb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (100 * F.least(na, nb) >= shape.num * F.greatest(na, nb)) & (bits <= most) & (wa.isNull() | wb.isNull() | (apart <= most))
 
 
 def _possible(pairs: DataFrame, info: DataFrame, shape: Shape) -> DataFrame:
@@ -285,7 +289,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     shape = Shape(percent)
     keyed = docs.select(F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text"))).cast("bigint").alias("id"), "text")
     n_sk = ", ".join(f"{c} bigint" for c in SKETCH_COLS)
-    info = durable(keyed.mapInArrow(_info(width), f"id bigint, n_shingles bigint, h0 bigint, h1 bigint, {n_sk}, sketch array<bigint>"))
+    info = durable(keyed.mapInArrow(_info(width), f"id bigint, n_shingles bigint, h0 bigint, h1 bigint, {n_sk}, sketch array<bigint>, wide array<bigint>"))
     full = info.where("n_shingles > 0")
     reps = full.groupBy("h0", "h1").agg(F.min("id").alias("rep"))
     member = full.select("id", "h0", "h1").join(reps, ["h0", "h1"]).select("id", "rep")
