@@ -70,7 +70,8 @@ def chars(c: Column) -> Column:
 
 def codepoint_label(ch: Column) -> Column:
     """U+XXXX of the first character."""
-    return F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(ch)), 4, "0"))
+    digits = F.hex(F.ascii(ch))
+    return F.concat(F.lit("U+"), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), "0"))
 
 
 def visible(ch: Column) -> Column:
