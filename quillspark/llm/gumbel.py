@@ -16,6 +16,8 @@ row gives the same result wherever it runs.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,42 +80,69 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall((" " + text).replace(" ", SPACE)) if text else []
 
 
+def joined(ids, vocab: Vocabulary) -> bytes:
+    """The UTF-8 text of ids: pieces without the space put before the text."""
+    return b"".join(map(vocab.bytes_of.__getitem__, ids)).removeprefix(b" ")
+
+
 def decode(ids, vocab: Vocabulary) -> str:
-    """The text of ids: joined pieces without the space put before the text."""
-    raw = b"".join(map(vocab.bytes_of.__getitem__, ids))
-    return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
+    return joined(ids, vocab).decode("utf-8", "replace")
+
+
+def decoded(df: DataFrame, ids: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:
+    """``df`` with ``decoded``: the text of a column of piece ids; null stays null."""
+
+    def run(it):
+        vocab = _loaded(model_file if "/" in model_file else SparkFiles.get(model_file))
+        for col in it:
+            yield pa.array([None if x is None else decode(x, vocab) for x in col.to_pylist()], pa.string())
+
+    run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn("decoded", F.arrow_udf(run, "string")(F.col(ids)))
 
 
 class _Pieces:
-    """Piece ids by the hash of their code points: open addressing, probed for many substrings at once."""
+    """Piece ids by the hash of their code points: open addressing, probed for many substrings at once.
+
+    Prefixes of pieces that aren't pieces are there too, as PREFIX, so that a
+    position is left as soon as no longer piece can start there.
+    """
+
+    NONE, PREFIX = -1, -2
 
     def __init__(self, vocab: Vocabulary) -> None:
-        self.bits = max(4, 3 + len(vocab.ids).bit_length())
+        entries = {p[:i]: self.PREFIX for p in vocab.ids for i in range(1, len(p))} | vocab.ids
+        self.bits = max(4, 2 + len(entries).bit_length())
         size = 1 << self.bits
-        self.keys, self.values, self.probes = np.zeros(size, U64), np.full(size, -1, np.int32), 1
-        pieces = sorted(vocab.ids, key=vocab.ids.__getitem__)
-        points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(x) for x in pieces])
-        sums = _point_sums(points)
-        for p, h in zip(pieces, _span_hash(sums, ends - [len(x) for x in pieces], ends)):
-            at, probes = int(h) >> (64 - self.bits), 1
-            while self.values[at] >= 0:
-                at, probes = (at + 1) % size, probes + 1
-            self.keys[at], self.values[at] = h, vocab.ids[p]
-            self.probes = max(self.probes, probes)
+        self.keys, self.values, self.probes = np.zeros(size, U64), np.full(size, self.NONE, np.int32), 1
+        n = np.array([len(x) for x in entries])
+        ends = np.cumsum(n)
+        h = _span_hash(_point_sums(np.frombuffer("".join(entries).encode("utf-32-le"), np.uint32)), ends - n, ends)
+        at, value = (h >> U64(64 - self.bits)).astype(np.int64), np.array(list(entries.values()), np.int32)
+        left = np.arange(len(h))
+        while len(left):  # the first comer takes a place, the others go one further
+            free = left[self.values[at[left]] == self.NONE]
+            _, first = np.unique(at[free], return_index=True)
+            take = free[first]
+            self.keys[at[take]], self.values[at[take]] = h[take], value[take]
+            left = np.setdiff1d(left, take, assume_unique=True)
+            if len(left):
+                at[left] = (at[left] + 1) % size
+                self.probes += 1
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids, -1 where there is none."""
+        """Ids, PREFIX or NONE."""
         at = (h >> U64(64 - self.bits)).astype(np.int64)
-        got = np.where(self.keys[at] == h, self.values[at], -1)
-        open_ = np.flatnonzero((got < 0) & (self.values[at] >= 0))
+        same = self.keys[at] == h
+        got = np.where(same, self.values[at], self.NONE)
+        open_ = np.flatnonzero(~same & (self.values[at] != self.NONE))
         for step in range(1, self.probes):
             if not len(open_):
                 break
             x = (at[open_] + step) % len(self.keys)
             hit = self.keys[x] == h[open_]
             got[open_[hit]] = self.values[x[hit]]
-            open_ = open_[~hit & (self.values[x] >= 0)]
+            open_ = open_[~hit & (self.values[x] != self.NONE)]
         return got
 
 
@@ -147,6 +176,7 @@ class Lattices:
         self.first: dict[str, int] = {}
         self.cum, self.to, self.lp, self.piece = np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)
         self.edge_at = np.zeros(1, np.int64)
+        self.used = self.nodes = 0
 
     def add(self, words: list[str]) -> None:
         """Compile the words that aren't known yet, all at once."""
@@ -155,7 +185,7 @@ class Lattices:
             return
         n = np.array([len(w) for w in new])
         points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
-        base, total = len(self.edge_at) - 1, len(points)
+        base, total = self.nodes, len(points)
         stop = np.cumsum(n)
         self.first.update(zip(new, (base + stop - n).tolist()))
         left = np.repeat(stop, n) - np.arange(total)
@@ -167,7 +197,7 @@ class Lattices:
             if not len(at):
                 break
             got = self.pieces.find(_span_hash(sums, at, at + w))
-            hit = got >= 0
+            hit, more = got >= 0, got != self.pieces.NONE
             if w == 1:  # characters without a piece: their bytes
                 ascii_ = points < 128
                 byte = np.where(ascii_, self.byte_id[np.where(ascii_, points, 0)], -2 - points.astype(np.int64))
@@ -175,6 +205,7 @@ class Lattices:
             from_.append(at[hit])
             width.append(np.full(int(hit.sum()), w))
             piece.append(got[hit])
+            at = at[more]
         from_, width, piece = np.concatenate(from_), np.concatenate(width), np.concatenate(piece)
         weight = self.vocab.log_weight
         score = self.alpha * weight[np.maximum(piece, 0)]
@@ -203,10 +234,20 @@ class Lattices:
         run = np.cumsum(np.exp(lp))
         run -= np.repeat(np.concatenate([[0.0], run])[edge_at[:-1]], count)
         run[edge_at[1:] - 1] = 1.0
-        self.cum = np.concatenate([self.cum, np.minimum(run, 1.0)])
-        self.to = np.concatenate([self.to, np.where(ends, -1, base + from_ + width)])
-        self.lp, self.piece = np.concatenate([self.lp, lp]), np.concatenate([self.piece, piece.astype(np.int32)])
-        self.edge_at = np.concatenate([self.edge_at, len(self.cum) - len(lp) + edge_at[1:]])
+        new = {"cum": np.minimum(run, 1.0), "to": np.where(ends, -1, base + from_ + width), "lp": lp, "piece": piece}
+        self._append(self.used, **new)
+        self._append(base + 1, edge_at=self.used + edge_at[1:])
+        self.used += len(lp)
+        self.nodes += total
+
+    def _append(self, at: int, **columns: np.ndarray) -> None:
+        """Put values into arrays from place ``at``; an array that is full is doubled."""
+        for name, new in columns.items():
+            old = getattr(self, name)
+            if at + len(new) > len(old):
+                old = np.concatenate([old[:at], np.zeros(max(at, len(new), 1 << 16), old.dtype)])
+                setattr(self, name, old)
+            old[at : at + len(new)] = new
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids along edges."""
@@ -297,19 +338,20 @@ class Sample:
 def sample(texts: list[str], seeds: np.ndarray, lat: Lattices, k: int) -> list[list[Sample]]:
     """For each text up to ``k`` distinct segmentations in the order of their perturbed values."""
     words = [words_of(t) for t in texts]
-    if len(lat.edge_at) > CACHE_CHARS:
+    if lat.nodes > CACHE_CHARS:
         lat.clear()
-    lat.add([w for ws in words for w in ws])
-    starts = [np.array([lat.first[w] for w in ws], np.int64) for ws in words]
+    every = list(chain.from_iterable(words))
+    lat.add(every)
     n = np.array([len(w) for w in words])
     doc = np.repeat(np.arange(len(texts)), n)
-    index = np.concatenate([np.arange(x) for x in n]) if len(n) else np.zeros(0, np.int64)
-    node = np.concatenate(starts) if len(starts) else np.zeros(0, np.int64)
+    w_off = np.concatenate([[0], np.cumsum(n)])
+    index = np.arange(len(doc)) - w_off[doc]
+    node = np.array(list(map(lat.first.__getitem__, every)), np.int64)
     found: list[list[Sample]] = [[] for _ in texts]
     agenda: list[list[tuple]] = [[] for _ in texts]  # (value, parent, word, taken paths)
     top = -np.log(-np.log(_uniform(seeds, np.full(len(texts), 1 << 40))))
     edges, sizes, lp = _walk(lat, node, seeds[doc], index, 0)
-    e_off, w_off = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(doc, sizes), minlength=len(texts)))]), np.concatenate([[0], np.cumsum(n)])
+    e_off = np.concatenate([[0], np.cumsum(sizes)])[w_off]
     for d in range(len(texts)):
         a, b = w_off[d], w_off[d + 1]
         found[d].append(Sample(edges[e_off[d] : e_off[d + 1]], sizes[a:b], lp[a:b], float(top[d])))
@@ -327,10 +369,11 @@ def sample(texts: list[str], seeds: np.ndarray, lat: Lattices, k: int) -> list[l
                     todo.append((d, *agenda[d].pop(best)))
         if not todo:
             continue
-        later = [np.arange(w + 1, n[d]) for d, _, _, w, _ in todo]
-        count = np.array([len(x) for x in later])
-        who = np.repeat([x[0] for x in todo], count)
-        at = np.concatenate(later)
+        after = np.array([x[3] + 1 for x in todo])
+        of = np.array([x[0] for x in todo])
+        count = n[of] - after
+        who = np.repeat(of, count)
+        at = ragged(after, count)
         edges, sizes, lp = _walk(lat, node[w_off[who] + at], seeds[who], at, turn)
         off = np.concatenate([[0], np.cumsum(count)])
         e_cum = np.concatenate([[0], np.cumsum(sizes)])
@@ -406,7 +449,7 @@ def sampled(docs: DataFrame, model_file: str = MODEL_FILE, k: int = SAMPLES, alp
                     for i, s in enumerate(found):
                         x = lat.ids(s.edges)
                         ids.append(x)
-                        rows.append((d, i, len(x), s.log_prob, s.value, s.log_inclusion, decode(x.tolist(), vocab) == texts[d]))
+                        rows.append((d, i, len(x), s.log_prob, s.value, s.log_inclusion, joined(x.tolist(), vocab) == texts[d].encode("utf-8", "replace")))
                 cols = list(zip(*rows))
                 off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(off, pa.array(np.concatenate(ids).astype(np.int32)))
