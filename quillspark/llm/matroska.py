@@ -209,7 +209,7 @@ def _block(out: Parsed, buf, a: int, b: int, base: int, cluster: int, block: int
 
 def parse(data) -> Parsed:
     """Read a file's packets, tracks and cues; raises MalformedMatroska."""
-    buf, out = memoryview(data), Parsed()
+    buf, out = memoryview(data).cast("B"), Parsed()
     seen = False
     for ident, _, a, b in elements(buf, 0, len(buf)):
         if ident != SEGMENT:
@@ -256,7 +256,7 @@ def parse(data) -> Parsed:
 
 def payload(data, found: Parsed, track: int = 1) -> bytes:
     """The bytes of one track's packets, in file order."""
-    buf = memoryview(data)
+    buf = memoryview(data).cast("B")
     return b"".join(buf[p[7] : p[7] + p[8]] for p in found.packets if p[0] == track)
 
 

@@ -25,8 +25,8 @@ from .common import crc_fold, ragged
 MAX_LABELLED = 8_000
 #: Words in a segment, n-gram lengths, hash buckets, dimensions.
 SEGMENT, GRAMS, BUCKETS, DIM = 8, (3, 4, 5), 1 << 16, 8
-#: Training: epochs, of which so many take all segments of a positive text, texts in a batch, rate and weight decay; one text in HOLD sets the offset.
-EPOCHS, WARM, BATCH, RATE, DECAY, HOLD = 8, 1, 96, 0.02, 1e-5, 5
+#: Training: epochs, or as many as make so many steps; epochs that take all segments of a positive text; texts in a batch, rate and weight decay; one text in HOLD sets the offset.
+EPOCHS, STEPS, WARM, BATCH, RATE, DECAY, HOLD = 8, 500, 1, 96, 0.02, 1e-5, 5
 #: Word scores that a worker remembers before it starts afresh.
 CACHE = 400_000
 
@@ -109,7 +109,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
     train = np.arange(len(seg_words)) % HOLD != HOLD - 1
     weigh = float(np.sqrt((~toxic).sum() / toxic.sum()))
     step = 0
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, -(-STEPS * BATCH // max(1, int(train.sum()))))):
         order = rng.permutation(np.flatnonzero(train))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
