@@ -13,6 +13,7 @@ most n-grams with its word.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import crc_fold, ragged
 
 #: Most labelled rows that the model is fitted on: those of the training fold with the least hash.
-MAX_LABELLED = 8_000
+MAX_LABELLED = 6_000
 #: Words in a segment, n-gram lengths, hash buckets, dimensions.
 SEGMENT, GRAMS, BUCKETS, DIM = 8, (3, 4, 5), 1 << 16, 8
 #: Training: epochs, or as many as make so many steps; epochs that take all segments of a positive text; texts in a batch, rate and weight decay; one text in HOLD sets the offset.
-EPOCHS, STEPS, WARM, BATCH, RATE, DECAY, HOLD = 8, 500, 1, 96, 0.02, 1e-5, 5
+EPOCHS, STEPS, WARM, BATCH, RATE, DECAY, HOLD = 8, 500, 1, 96, 0.02, 5e-5, 5
 #: Word scores that a worker remembers before it starts afresh.
 CACHE = 400_000
 
@@ -92,16 +93,19 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
         if ids:
             at = _segment_starts(len(ids)).tolist()
             parts = [sorted(set(ids[a:b])) for a, b in zip(at, [*at[1:], len(ids)])]
-            seg_words.append(np.array([w for part in parts for w in part]))
+            seg_words.append(np.array([w for part in parts for w in part], np.int32))
             seg_of.append(np.cumsum([0, *(len(part) for part in parts[:-1])]))
             doc_no.append(d)
     if not doc_no:
         return Model(np.zeros(BUCKETS), -3.0)
-    lists = [grams(w) for w in vocab]
-    n_gram = np.array([len(x) for x in lists])
-    gram_off = np.concatenate([[0], np.cumsum(n_gram)])
-    used, gram = np.unique(np.concatenate(lists), return_inverse=True)  # dense buckets for the grams in use
-    emb = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
+    flat, n_gram = array("i"), np.zeros(len(vocab), np.int64)  # plain numbers: a large vocabulary's lists would fill the driver
+    for i, w in enumerate(vocab):
+        own = grams(w)
+        n_gram[i] = len(own)
+        flat.extend(own)
+    vocab.clear()
+    gram, gram_off = np.frombuffer(flat, np.int32), np.concatenate([[0], np.cumsum(n_gram)])
+    emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     params = (emb, out, bias)
@@ -143,15 +147,16 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
             first = np.searchsorted(word[by_word], np.arange(len(words)))
             gw = np.add.reduceat(np.repeat(gs, seg_len, axis=0)[by_word], first) / n_gram[words][:, None]
             spread = np.repeat(gw, n_gram[words], axis=0)
-            ge = np.stack([np.bincount(g_idx, spread[:, i], len(used)) for i in range(DIM)], 1).astype(np.float32) + DECAY * emb
+            ge = np.stack([np.bincount(g_idx, spread[:, i], BUCKETS) for i in range(DIM)], 1).astype(np.float32) + DECAY * emb
             step += 1
             for i, (param, grad) in enumerate(zip(params, (ge, sv.T @ g, g.sum(0)))):
                 m, v = state[2 * i], state[2 * i + 1]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 param -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    gram_scores = np.zeros(BUCKETS)
-    gram_scores[used] = emb @ (out[:, 1] - out[:, 0])
+    seen = np.zeros(BUCKETS, bool)
+    seen[gram] = True
+    gram_scores = np.where(seen, emb @ (out[:, 1] - out[:, 0]), 0.0)
     # Texts are scored by their worst segment: set the offset where the texts held back are told apart best.
     model = Model(gram_scores, 0.0)
     cache = _Scores(model)
