@@ -153,11 +153,18 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataF
     cols = docs.columns
     placed = place(docs, seed)
     targets = placed.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    cut = pieces(placed, block)
-    # words with what follows them; the first takes what stands before it too
+    # Words with what follows them; the first takes what stands before it too. The array
+    # goes through a generator so that it is made once for a document, not once for a part.
     words = F.regexp_extract_all("text", F.lit(f"^[\\x20\\x09-\\x0D]*{WORD_RE}[\\x20\\x09-\\x0D]*|{WORD_RE}[\\x20\\x09-\\x0D]*"), F.lit(0))
-    part = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("from") + 1).cast("int"), F.col("words").cast("int")), ""))
-    cut = cut.withColumn("_part", part).withColumnRenamed("block", "_block")
+    cut = placed.where("size > 0").select("*", F.explode(F.array(words)).alias("_w"))
+    first, end = F.col("start"), F.col("start") + F.col("size")
+
+    def part(b: Column) -> Column:
+        a = F.greatest(first, b * block)
+        return F.struct(b.alias("block"), F.array_join(F.slice("_w", (a - first + 1).cast("int"), (F.least(end, (b + 1) * block) - a).cast("int")), "").alias("text"))
+
+    parts = F.transform(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"), part)
+    cut = cut.select(*(c for c in cols if c not in ("text", "n_chars")), F.explode(parts).alias("_p")).select("*", F.col("_p.block").alias("_block"), F.col("_p.text").alias("_part")).drop("_p")
     drawn = slots(targets, block, seed=seed).select("shard", "slot", F.col("source").alias("_source"), F.col("block").alias("_drawn")).hint("merge")
     mix = drawn.join(cut, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_drawn") == F.col("_block")))
     out = {"text": F.col("_part"), "n_chars": F.length("_part").cast("bigint")}
