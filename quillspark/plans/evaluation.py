@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import bidi
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import feasibility, metrics, profiles, ranking
+from ..operators import decoding, feasibility, metrics, profiles, ranking
 from .registry import query, table
 
 
@@ -156,3 +157,18 @@ def prj09_safe_ratios(spark, sf_dir):
 def mth02_log_add(spark, sf_dir):
     a = F.array(F.col("c_acctbal") / 1000, -F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double"))
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(N.log_add(a), 6).alias("total"))
+
+
+@query()
+def udf04_beam_search(spark, sf_dir):
+    """Beams over frame scores made from each conversation's turns (six symbols, a frame for each turn)."""
+    c = table(spark, sf_dir, "conversations")
+    score = F.array(*(F.ln((1 + F.pmod(F.crc32(F.concat("text", F.lit(str(k))).cast("binary")), F.lit(97))) / 600.0) for k in range(6)))
+    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", score.alias("s")))).alias("t")).select("conv_id", F.transform("t", lambda x: x["s"]).alias("frames"))
+    return decoding.beam_search(rows, "conv_id", "frames", beam=5)
+
+
+@query("SELECT doc_id, text AS visual FROM documents")
+def str06_visual_order(spark, sf_dir):
+    """Left-to-right texts keep their order."""
+    return table(spark, sf_dir, "documents").select("doc_id", bidi.visual(F.col("text")).alias("visual"))
