@@ -156,6 +156,12 @@ def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two sketches differ, at the shorter one's length (unsigned: numpy counts the bits of absolute values)."""
+    n = min(len(x), len(y))
+    return int(np.bitwise_count((fold(x, n) ^ fold(y, n)).view(U64)).sum())
+
+
 SKETCH_COLS = [f"s{i}" for i in range(SKETCH)]
 
 
@@ -216,8 +222,7 @@ def _near(shape: Shape):
             keep = []
             for ok, m, x, y in zip(fits, most, _values(batch.column(4)), _values(batch.column(5))):
                 if ok:
-                    n = min(len(x), len(y))
-                    ok = int(np.bitwise_count(fold(x, n) ^ fold(y, n)).sum()) <= m
+                    ok = bits_apart(x, y) <= m
                 keep.append(bool(ok))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

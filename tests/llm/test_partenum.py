@@ -72,7 +72,8 @@ def test_sketches_bound_the_difference():
     sk, at = p.sketches(np.concatenate([a, b]), np.array([0, 3000, 6100]))
     for words in (16, 64, int(np.diff(at).min())):
         x, y = p.fold(sk[: at[1]], words), p.fold(sk[at[1] :], words)
-        assert np.bitwise_count(x ^ y).sum() <= 900
+        assert p.bits_apart(x, y) <= 900
+        assert p.bits_apart(x, y) == sum(bin((int(i) ^ int(j)) & (2**64 - 1)).count("1") for i, j in zip(x, y))
 
 
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
