@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import gumbel, mixing, partenum, rules, substrings
-from quillspark.llm.common import durable, table
+from quillspark.llm.common import WORD_RE, durable, table
 
 #: Near duplicates share this many per cent of their shingles of so many words; a repeated passage has so many words.
 NEAR_WIDTH, NEAR_PERCENT, PASSAGE = 5, 80, 50
@@ -22,20 +22,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep each component's first document; one row of a doc_id that repeats."""
-    first = partenum.jaccard_components(docs, NEAR_WIDTH, NEAR_PERCENT).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # doc_ids are a key; where one repeats, the row of the least text stays
-    return kept.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("_row")).select("doc_id", "_row.*").select(*docs.columns)
+    """Keep each component's first row: the least doc_id's, one without an id only where all are.
+
+    Rows are judged by themselves, so that neither a missing nor a repeated doc_id
+    drops one. Texts without words link with nothing: their rows all stay.
+    """
+    rows = docs.withColumn("_node", F.xxhash64("doc_id", "text"))
+    linked = partenum.row_components(rows.select(F.col("_node").alias("id"), "doc_id", "text"), NEAR_WIDTH, NEAR_PERCENT)
+    first = linked.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("_first"))
+    worded = F.coalesce("text", F.lit("")).rlike(WORD_RE)
+    kept = rows.where(worded).join(first.select(F.col("_first.id").alias("_node")), "_node", "left_semi")
+    # equal rows are one node; one of them stays
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = kept.groupBy("_node", "doc_id", "text").agg(F.min(F.struct(*others)).alias("_row")).select("doc_id", "text", "_row.*")
+    return kept.select(*docs.columns).union(docs.where(~worded))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out every window of PASSAGE words that starts more than once."""
-    got = substrings.remove_repeats(docs, PASSAGE, keep_text=True).select(F.col("doc_id").alias("_id"), "ord", "n_removed", "kept_text")
-    # doc_id is a key since the stage before
-    out = docs.join(got.where("ord = 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))}
-    return out.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    # rows without an id are apart by their texts; rows of one key by their ordinals
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("doc_id"), "text", F.struct(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("_none")).alias("_row"))
+    got = substrings.remove_repeats(keyed, PASSAGE, keep_text=True, carry=("_row",))
+    changed = {"text": F.when(~F.col("_row._none"), F.col("kept_text")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("_row.n_chars"))}
+    return got.select(*(changed[c].alias(c) if c in changed else F.col(f"_row.{c}") for c in docs.columns))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

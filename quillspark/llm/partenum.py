@@ -166,7 +166,7 @@ SKETCH_COLS = [f"s{i}" for i in range(SKETCH)]
 
 
 def _info(width: int):
-    """Arrow function: (id, text) to (id, n_shingles, two set hashes, sketch)."""
+    """Arrow function: (id, text, doc_id) to (id, doc_id, n_shingles, two set hashes, sketch)."""
 
     def run(batches):
         for batch in batches:
@@ -177,8 +177,8 @@ def _info(width: int):
                 sk, at = sketches(h, off)
                 short = np.stack([fold(sk[at[i] : at[i + 1]], SKETCH) for i in range(b - a)])
                 wide = [fold(sk[at[i] : at[i + 1]], WIDE) if at[i + 1] - at[i] >= WIDE else None for i in range(b - a)]
-                cols = [batch.column(0)[a:b], pa.array(np.diff(off).astype(np.int64)), *map(pa.array, sets), *(pa.array(np.ascontiguousarray(short[:, i])) for i in range(SKETCH)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sk)), pa.array(wide, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_shingles", "h0", "h1", *SKETCH_COLS, "sketch", "wide"])
+                cols = [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(np.diff(off).astype(np.int64)), *map(pa.array, sets), *(pa.array(np.ascontiguousarray(short[:, i])) for i in range(SKETCH)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sk)), pa.array(wide, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "doc_id", "n_shingles", "h0", "h1", *SKETCH_COLS, "sketch", "wide"])
 
     return run
 
@@ -291,10 +291,21 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     all. Rows without a doc_id take part under an id of their text and come back
     with a null component. Columns other than doc_id and text aren't read.
     """
+    out = row_components(docs.withColumn("id", F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text")))), width, percent)
+    return out.select(F.when(F.col("id") >= 0, F.col("id")).alias("doc_id"), "n_shingles", F.when(F.col("id") >= 0, F.col("component")).alias("component_id"))
+
+
+def row_components(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row of ``rows`` (id, doc_id, text): id, doc_id, n_shingles, component (least id that links reach).
+
+    Sets and links are those of ``jaccard_components``; rows of one id are parts of
+    one. ``doc_id`` only passes through.
+    """
     shape = Shape(percent)
-    keyed = docs.select(F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text"))).cast("bigint").alias("id"), "text")
+    keyed = rows.select(F.col("id").cast("bigint"), "text", F.col("doc_id").cast("bigint"))
     n_sk = ", ".join(f"{c} bigint" for c in SKETCH_COLS)
-    info = durable(keyed.mapInArrow(_info(width), f"id bigint, n_shingles bigint, h0 bigint, h1 bigint, {n_sk}, sketch array<bigint>, wide array<bigint>"))
+    info = durable(keyed.mapInArrow(_info(width), f"id bigint, doc_id bigint, n_shingles bigint, h0 bigint, h1 bigint, {n_sk}, sketch array<bigint>, wide array<bigint>"))
+    keyed = keyed.drop("doc_id")
     full = info.where("n_shingles > 0")
     reps = full.groupBy("h0", "h1").agg(F.min("id").alias("rep"))
     member = full.select("id", "h0", "h1").join(reps, ["h0", "h1"]).select("id", "rep")
@@ -306,7 +317,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     # Equal sets become their representative; what then has one member is done.
     shared = durable(shared.join(member, "id").select("sig", F.col("rep").alias("id")).distinct())
     hubs = shared.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("sig", "hub")
-    sided = info.drop("h0", "h1", "sketch")
+    sided = info.drop("doc_id", "h0", "h1", "sketch")
     stars = shared.join(hubs, "sig").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     near = durable(_possible(stars, info, shape))
 
@@ -334,8 +345,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     # Members of one set belong together; ids are compared as the contract asks.
     links = links.union(member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     found = components(links)
-    out = info.select("id", "n_shingles").join(found, info.id == found.node, "left")
-    return out.select(F.when(F.col("id") >= 0, F.col("id")).alias("doc_id"), "n_shingles", F.when(F.col("id") >= 0, F.coalesce("component", "id")).alias("component_id"))
+    out = info.select("id", "doc_id", "n_shingles").join(found, info.id == found.node, "left")
+    return out.select("id", "doc_id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def _windows(width: int, v: int):
 
 
 def _finish(width: int, v: int, keep_text: bool):
-    """(k, text, ord, hits, misses) to the result rows."""
+    """(k, text, ord, hits, misses, carried columns) to the result rows."""
 
     def run(batches):
         for batch in batches:
@@ -163,20 +163,21 @@ def _finish(width: int, v: int, keep_text: bool):
                 cols = [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(tokens.count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha)]
                 if keep_text:
                     cols.append(pa.array(kept, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=["k", "ord", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(cols)])
+                names = ["k", "ord", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(cols)] + batch.schema.names[5:]
+                yield pa.RecordBatch.from_arrays(cols + [c[a:b] for c in batch.columns[5:]], names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, keep_text: bool = False) -> DataFrame:
-    """Per row of ``docs``: doc_id, ord, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+def remove_repeats(docs: DataFrame, width: int = 35, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, ord, n_words, n_removed, kept_sha256 and, if asked for, kept_text; then ``carry``.
 
     A word goes if a window of ``width`` words that covers it starts anywhere else
     too, in the same document or another; windows are judged on the input. ``ord``
     tells rows of one doc_id apart, whose repeated texts count as repeats. Null and
     empty texts have no words and hash as empty. ``kept_text`` is the text itself
-    where nothing went, else the kept words joined by one space. Other columns
-    aren't read; an empty table gives no rows.
+    where nothing went, else the kept words joined by one space. ``carry`` names
+    columns that pass through; others aren't read; an empty table gives no rows.
     """
     v = period_for(width)
     base = with_ordinal(docs)
@@ -190,7 +191,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, keep_text: bool = False) ->
     misses = windows.withColumn("_n", F.count("*").over(w)).where("not known and _n = 1")
     misses = durable(misses.groupBy("k").agg(F.collect_list("place").alias("misses")))
     found = hits.join(misses, "k", "left")
-    out = base.join(found, "k", "left").select("k", "text", "ord", "hits", "misses")
-    schema = "k bigint, ord int, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
+    out = with_ordinal(docs, *carry).join(found, "k", "left").select("k", "text", "ord", "hits", "misses", *carry)
+    schema = "k bigint, ord int, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     out = out.mapInArrow(_finish(width, v, keep_text), schema)
     return out.select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), *out.columns[1:])
