@@ -288,11 +288,17 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     text's whole sequence is one; null, empty and blank texts have an empty set and
     link with nothing. A link is 100 * |A & B| >= percent * |A | B|, in integers.
     Rows that share a doc_id are one document's parts: what links to one links to
-    all. Rows without a doc_id take part under an id of their text and come back
-    with a null component. Columns other than doc_id and text aren't read.
+    all. Rows without a doc_id take part under an id of their text, link others, and
+    come back with a null component. Columns other than doc_id and text aren't read.
     """
-    out = row_components(docs.withColumn("id", F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text")))), width, percent)
-    return out.select(F.when(F.col("id") >= 0, F.col("id")).alias("doc_id"), "n_shingles", F.when(F.col("id") >= 0, F.col("component")).alias("component_id"))
+    stand_in = F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))
+    out = row_components(docs.withColumn("id", F.coalesce("doc_id", stand_in)), width, percent)
+    if not docs.where("doc_id IS NULL").isEmpty():
+        # a component that is named by a row without a doc_id takes its least real one
+        named = out.where("doc_id IS NULL").select(F.col("component").alias("_c")).distinct()
+        least = out.where("doc_id IS NOT NULL").join(named, F.col("component") == F.col("_c"), "left_semi").groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("_least"))
+        out = out.join(least, F.col("component") == F.col("_c"), "left").withColumn("component", F.coalesce("_least", "component"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def row_components(rows: DataFrame, width: int, percent: int) -> DataFrame:

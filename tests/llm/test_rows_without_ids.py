@@ -34,3 +34,9 @@ def test_repeated_passages_needs_no_unique_id(spark):
     want = [(None, "one"), (None, "two"), (5, words(1)), (5, words(2)), (5, "three"), rows[5], (None, None), (None, "")]
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
     assert all(r.n_chars == len(r.text or "") for r in got.collect())
+
+
+def test_component_is_the_least_real_doc_id(spark):
+    rows = [(8, words(1)), (9, words(1)), (None, words(1)), (None, words(2)), (None, words(2)), (-3, words(3)), (4, words(3)), (None, words(3) + " end"), (6, words(4)), (5, words(4)), (-7, "")]
+    got = p.jaccard_components(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(8, 8), (9, 8), (-3, -3), (4, -3), (6, 5), (5, 5), (-7, -7)] + [(None, None)] * 4)
