@@ -13,10 +13,14 @@ from .registry import query, table
 
 
 def pairs(spark, sf_dir):
-    """Neighbouring conversation turns that are ASCII, as reference and prediction."""
+    """Neighbouring conversation turns, as reference and prediction."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").withColumn("prediction", F.lead("text").over(w)).withColumnRenamed("text", "reference").where("prediction IS NOT NULL")
-    return c.where("length(reference) = octet_length(reference) AND length(prediction) = octet_length(prediction)")
+    return table(spark, sf_dir, "conversations").withColumn("prediction", F.lead("text").over(w)).withColumnRenamed("text", "reference").where("prediction IS NOT NULL")
+
+
+def ascii_pairs(spark, sf_dir):
+    """The pairs of ASCII texts only, as _PAIRS has them: DuckDB's levenshtein counts bytes."""
+    return pairs(spark, sf_dir).where("length(reference) = octet_length(reference) AND length(prediction) = octet_length(prediction)")
 
 
 _PAIRS = "SELECT * FROM (SELECT conv_id, turn, role, text AS reference, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prediction FROM conversations) WHERE prediction IS NOT NULL AND length(reference) = strlen(reference) AND length(prediction) = strlen(prediction)"
@@ -25,19 +29,19 @@ _DIST = f"SELECT *, levenshtein(reference, prediction) AS cd, length(reference)
 
 @query(f"SELECT role, count(*) AS samples, round(sum(cd) / sum(greatest(rc, 1)), 9) AS cer, avg(CAST(exact AS DOUBLE)) AS exact_match FROM ({_DIST}) GROUP BY role")
 def agg09_cer_corpus(spark, sf_dir):
-    d = metrics.with_distances(pairs(spark, sf_dir))
+    d = metrics.with_distances(ascii_pairs(spark, sf_dir))
     return metrics.corpus_metrics(d, "role").select("role", "samples", F.round("cer", 9).alias("cer"), "exact_match")
 
 
 @query(f"SELECT role, count(*) FILTER (trim(reference) <> '') AS samples, round(coalesce(sum(cd) FILTER (trim(reference) <> '') / nullif(sum(rc) FILTER (trim(reference) <> ''), 0), 0), 9) AS cer FROM ({_DIST}) GROUP BY role")
 def agg10_cer_nonblank(spark, sf_dir):
-    d = metrics.with_distances(pairs(spark, sf_dir))
+    d = metrics.with_distances(ascii_pairs(spark, sf_dir))
     return metrics.nonblank_metrics(d, "role").select("role", "samples", F.round("cer", 9).alias("cer"))
 
 
 @query(f"SELECT conv_id, turn, cd AS char_distance, round(CASE WHEN rc > 0 THEN cd / rc WHEN cd > 0 THEN 1.0 ELSE 0.0 END, 9) AS cer, NOT exact AND regexp_replace(reference, '\\s+', '', 'g') = regexp_replace(prediction, '\\s+', '', 'g') AS spacing_only FROM ({_DIST})")
 def str15_pair_evaluation(spark, sf_dir):
-    d = metrics.with_distances(pairs(spark, sf_dir))
+    d = metrics.with_distances(ascii_pairs(spark, sf_dir))
     return d.select("conv_id", "turn", "char_distance", F.round(metrics.row_rate(F.col("char_distance"), F.col("ref_chars")), 9).alias("cer"), "spacing_only")
 
 
@@ -65,7 +69,7 @@ def srt02_top_confusions(spark, sf_dir):
 
 @query(f"SELECT conv_id, turn, cd AS char_distance FROM ({_DIST}) ORDER BY cd DESC, conv_id, turn LIMIT 25")
 def srt03_worst_examples(spark, sf_dir):
-    d = pairs(spark, sf_dir).withColumn("char_distance", metrics.char_distance(F.col("reference"), F.col("prediction")))
+    d = ascii_pairs(spark, sf_dir).withColumn("char_distance", metrics.char_distance(F.col("reference"), F.col("prediction")))
     return ranking.top_k(d, 25, F.desc("char_distance"), F.col("conv_id"), F.col("turn")).select("conv_id", "turn", "char_distance")
 
 
