@@ -34,7 +34,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _END_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 
 
@@ -49,6 +51,17 @@ class Block:
     item: bool
 
 
+def _hides(attrs: str) -> bool:
+    """Whether the attributes hide an element: hidden, aria-hidden=true, or the style."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDING.search(value):
+            return True
+    return False
+
+
 def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool]:
     """(article, boilerplate, hidden) as an element's name and attributes say."""
     names: set[str] = set()
@@ -56,7 +69,7 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool]:
         for m in _NAMES.finditer(attrs):
             names |= {w.lower() for w in _WORDS.findall(m[1] or m[2] or m[3] or "")}
     boiler = tag in _BOILER or bool(names & _BOILER_NAME)
-    return tag in _ARTICLE or bool(names & _ARTICLE_NAME) and not boiler, boiler, bool(attrs) and bool(_HIDDEN.search(attrs))
+    return tag in _ARTICLE or bool(names & _ARTICLE_NAME) and not boiler, boiler, bool(attrs) and _hides(attrs)
 
 
 def blocks(page: str) -> list[Block]:
