@@ -18,16 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Fixed values of HTML: elements whose content is raw or not text, void elements, and those that don't break a block.
-RAW = "script style noscript template textarea title iframe xmp noembed noframes svg math object select"
+RAW = "script style noscript template textarea title iframe xmp noembed noframes svg"
+#: Raw elements whose content is code: without an end tag they reach to the page's end, as in a page cut short.
+CODE = "script style"
 VOID = "area base br col embed hr img input link meta param source track wbr"
-INLINE = "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+INLINE = "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mspace msub msup msubsup munder mover munderover mmultiscripts mprescripts semantics annotation annotation-xml"
 #: Elements and words in class, id and role that mark what isn't the article.
-BOILER = "nav footer aside form header menu dialog button"
+BOILER = "nav footer aside form header menu dialog button select"
 BOILER_NAME = "ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu menubar footer header masthead sidebar aside widget breadcrumb breadcrumbs comment comments reply replies discussion disqus cookie cookies consent gdpr notice notices popup modal overlay share sharing social related recommended newsletter subscribe signup login search pagination pager copyright legal disclaimer toolbar tags complementary contentinfo"
 ARTICLE = "article main"
 ARTICLE_NAME = "article content post entry story main body text"
 
-_RAW, _VOID, _INLINE, _BOILER, _ARTICLE = (frozenset(x.split()) for x in (RAW, VOID, INLINE, BOILER, ARTICLE))
+_RAW, _CODE, _VOID, _INLINE, _BOILER, _ARTICLE = (frozenset(x.split()) for x in (RAW, CODE, VOID, INLINE, BOILER, ARTICLE))
 _BOILER_NAME, _ARTICLE_NAME = frozenset(BOILER_NAME.split()), frozenset(ARTICLE_NAME.split())
 _HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -80,6 +82,7 @@ def blocks(page: str) -> list[Block]:
     linked, link_depth = 0, 0
     state = (False, False, False)
     heading = item = False
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal text, linked
@@ -117,8 +120,15 @@ def blocks(page: str) -> list[Block]:
                     break
         else:
             if tag in _RAW:
-                end = _END_RAW[tag].search(page, at)
-                at = end.end() if end else n
+                if tag == "svg" and m[3].rstrip().endswith("/"):
+                    continue
+                end = _END_RAW[tag].search(page, at) if tag not in endless else None
+                if end:
+                    at = end.end()
+                elif tag in _CODE:
+                    at = n
+                else:
+                    endless.add(tag)  # only its start tag is skipped; later ones have no end either
                 continue
             if tag == "br":
                 text.append(" ")

@@ -16,3 +16,19 @@ def test_shown(attrs):
 @pytest.mark.parametrize("attrs", ["hidden", 'class="a" hidden=""', "HIDDEN", "aria-hidden=true", "aria-hidden='TRUE'", 'style="color:red; display : none"', "style='visibility:hidden;'", "style=display:none", 'style="display:none !important"'])
 def test_hidden(attrs):
     assert h.blocks(f"<div {attrs}><p>{LEAD}</p></div>") == []
+
+
+@pytest.mark.parametrize("before", ["<svg class=icon/>", "<svg/><svg><text>drawn</text></svg>", "<svg width='1' />", "<math/>", "<svg>", "<math>", "<object>", "<template>", "<noscript>", "<iframe src=x>", "<title>"])
+def test_rest_of_page_stays(before):
+    page = f"<article>{before}<p>{LEAD}</p></article>"
+    assert h.main_blocks(page, TREE) == [LEAD]
+
+
+def test_math_object_and_select():
+    page = f"<article><p>Let <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> be given, so that the sum of all the terms is known.</p><object data=f><p>{LEAD}</p></object><select><option>Choose a town</option></select></article>"
+    assert h.main_blocks(page, TREE) == ["Let x = 2 be given, so that the sum of all the terms is known.", LEAD]
+
+
+@pytest.mark.parametrize("code", ["<script>var t = 'some words of code that are not text';", "<style>p { color: red }"])
+def test_code_cut_short_is_no_text(code):
+    assert h.main_blocks(f"<article><p>{LEAD}</p>{code}", TREE) == [LEAD]
