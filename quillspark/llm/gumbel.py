@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,9 @@ def words_of(text: str) -> list[str]:
 
 def joined(ids, vocab: Vocabulary) -> bytes:
     """The UTF-8 text of ids: pieces without the space put before the text."""
-    return b"".join(map(vocab.bytes_of.__getitem__, ids)).removeprefix(b" ")
+    if len(ids) < 2:  # itemgetter gives a tuple from two on
+        return b"".join(vocab.bytes_of[i] for i in ids).removeprefix(b" ")
+    return b"".join(itemgetter(*ids)(vocab.bytes_of)).removeprefix(b" ")
 
 
 def decode(ids, vocab: Vocabulary) -> str:
@@ -179,19 +182,22 @@ class Lattices:
         self.used = self.nodes = 0
 
     def add(self, words: list[str]) -> None:
-        """Compile the words that aren't known yet, all at once."""
-        new = [w for w in dict.fromkeys(words) if w not in self.first]
+        """Compile the words that aren't known yet, all at once; nodes are numbered by their distance from their word's end."""
+        new = list(set(words).difference(self.first))
         if not new:
             return
         n = np.array([len(w) for w in new])
         points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
         base, total = self.nodes, len(points)
         stop = np.cumsum(n)
-        self.first.update(zip(new, (base + stop - n).tolist()))
         left = np.repeat(stop, n) - np.arange(total)
+        nodes = np.argsort(left.astype(np.uint16) if n.max() < 1 << 16 else left, kind="stable")
+        rank = np.empty(total, np.int64)
+        rank[nodes] = np.arange(total)
+        self.first.update(zip(new, (base + rank[stop - n]).tolist()))
         sums = _point_sums(points)
-        from_, width, piece = [], [], []
-        at = np.arange(total)
+        steps, at = [], np.arange(total)
+        count = np.zeros(total, np.int64)
         for w in range(1, self.vocab.longest + 1):
             at = at[left[at] >= w]
             if not len(at):
@@ -199,45 +205,49 @@ class Lattices:
             got = self.pieces.find(_span_hash(sums, at, at + w))
             hit, more = got >= 0, got != self.pieces.NONE
             if w == 1:  # characters without a piece: their bytes
-                ascii_ = points < 128
-                byte = np.where(ascii_, self.byte_id[np.where(ascii_, points, 0)], -2 - points.astype(np.int64))
-                got, hit = np.where(hit, got, byte), np.ones(total, bool)
-            from_.append(at[hit])
-            width.append(np.full(int(hit.sum()), w))
-            piece.append(got[hit])
+                odd = np.flatnonzero(~hit)
+                code = points[odd].astype(np.int64)
+                got[odd] = np.where(code < 128, self.byte_id[np.minimum(code, 127)], -2 - code)
+                hit[:] = True
+            from_ = at[hit]
+            count[rank[from_]] += 1
+            steps.append((w, from_, got[hit]))
             at = at[more]
-        from_, width, piece = np.concatenate(from_), np.concatenate(width), np.concatenate(piece)
+        edge_at = np.concatenate([[0], np.cumsum(count)])
+        edges = int(edge_at[-1])
+        piece, to, free = np.zeros(edges, np.int32), np.zeros(edges, np.int64), edge_at[:-1].copy()
+        for w, from_, got in reversed(steps):  # of a node's edges the longest piece comes first
+            r = rank[from_]
+            e = free[r]
+            free[r] = e + 1
+            piece[e] = got
+            to[e] = np.where(left[from_] == w, -1, rank[np.minimum(from_ + w, total - 1)])
         weight = self.vocab.log_weight
         score = self.alpha * weight[np.maximum(piece, 0)]
         for i in np.flatnonzero(piece < -1).tolist():
             raw = chr(-2 - int(piece[i])).encode("utf-8", "replace")
             score[i] = self.alpha * sum(float(weight[self.vocab.byte_id[x]]) for x in raw)
-        order = np.argsort(from_ * 32 + (31 - np.minimum(width, 31)))  # by node, the longest piece first
-        from_, width, piece, score = from_[order], width[order], piece[order], score[order]
-        count = np.bincount(from_, minlength=total)
-        edge_at = np.concatenate([[0], np.cumsum(count)])
-        ends = left[from_] == width
-        # Backward sums, all words at once: nodes by their distance from the word's end.
-        beta, value = np.zeros(total + 1), score
-        nodes = np.argsort(left, kind="stable")
+        # Backward sums, all words at once: a distance's nodes and edges lie together.
+        beta = np.zeros(total + 1)  # the last stands for the words' ends
         bounds = np.searchsorted(left[nodes], np.arange(1, int(n.max()) + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            at = nodes[a:b]
-            size = count[at]
-            e = ragged(edge_at[at], size)
-            s = score[e] + np.where(ends[e], 0.0, beta[from_[e] + width[e]])
-            starts = np.cumsum(size) - size
-            top = np.maximum.reduceat(s, starts)
-            beta[at] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, size)), starts))
-            value[e] = s
-        lp = np.minimum(value - beta[from_], 0.0)
+            e0, e1 = int(edge_at[a]), int(edge_at[b])
+            value = score[e0:e1]
+            value += beta[to[e0:e1]]
+            starts = edge_at[a:b] - e0
+            top = np.maximum.reduceat(value, starts)
+            value -= np.repeat(top, count[a:b])
+            sums_ = np.log(np.add.reduceat(np.exp(value), starts))
+            beta[a:b] = top + sums_
+            value -= np.repeat(sums_, count[a:b])
+        lp = np.minimum(score, 0.0, out=score)
         run = np.cumsum(np.exp(lp))
         run -= np.repeat(np.concatenate([[0.0], run])[edge_at[:-1]], count)
         run[edge_at[1:] - 1] = 1.0
-        new = {"cum": np.minimum(run, 1.0), "to": np.where(ends, -1, base + from_ + width), "lp": lp, "piece": piece}
+        new = {"cum": np.minimum(run, 1.0), "to": np.where(to < 0, -1, base + to), "lp": lp, "piece": piece}
         self._append(self.used, **new)
         self._append(base + 1, edge_at=self.used + edge_at[1:])
-        self.used += len(lp)
+        self.used += edges
         self.nodes += total
 
     def _append(self, at: int, **columns: np.ndarray) -> None:
@@ -355,7 +365,7 @@ def sample(texts: list[str], seeds: np.ndarray, lat: Lattices, k: int) -> list[l
     for d in range(len(texts)):
         a, b = w_off[d], w_off[d + 1]
         found[d].append(Sample(edges[e_off[d] : e_off[d + 1]], sizes[a:b], lp[a:b], float(top[d])))
-        _split(agenda[d], found[d], 0, seeds[d], 0, k)
+    _split(agenda, found, [(d, 0, []) for d in range(len(texts))], seeds, 0, k)
     for turn in range(1, k + 1):
         todo = []
         for d in range(len(texts)):
@@ -388,34 +398,57 @@ def sample(texts: list[str], seeds: np.ndarray, lat: Lattices, k: int) -> list[l
                 value,
             )
             found[d].append(new)
-            _split(agenda[d], found[d], w, seeds[d], turn, k, taken)
+        _split(agenda, found, [(d, w, taken) for d, _, _, w, taken in todo], seeds, turn, k)
     return found
 
 
-def _split(agenda: list, found: list[Sample], since: int, seed, turn: int, k: int, taken: list[Path] = []) -> None:  # noqa: B006
-    """Put the parts around the last sample's path, word by word, into the agenda; only the best k can matter.
+#: A part of less than this share of its subset's probability is rounding, and counts as empty.
+LEAST_PART = 1e-12
+
+
+def _split(agenda: list[list[tuple]], found: list[list[Sample]], new: list[tuple], seeds: np.ndarray, turn: int, k: int) -> None:
+    """Put the parts around the newest samples' paths, word by word, into their texts' agendas; only the best k can matter.
 
-    At the word ``since``, at which the sample left its parent, the paths already
-    taken there are left out too.
+    ``new`` has (text, first word that may differ, paths taken there). At that word,
+    where the sample left its parent, the paths already taken are left out too.
     """
-    s, me = found[-1], len(found) - 1
-    if not len(s.sizes):
+    new = [x for x in new if len(found[x[0]][-1].sizes)]
+    if not new:
         return
-    lp = s.lp[since:]
-    cut = np.concatenate([[0], np.cumsum(s.sizes)])
-    path = lambda w: (tuple(s.edges[cut[w] : cut[w + 1]].tolist()), float(s.lp[w]))
-    own = [*taken, path(since)]
+    cuts, owns = [], []
+    for d, since, taken in new:
+        s = found[d][-1]
+        cuts.append(np.concatenate([[0], np.cumsum(s.sizes)]))
+        owns.append([*taken, _path(s, cuts[-1], since)])
+    lps = [found[d][-1].lp for d, _, _ in new]
+    count = np.array([len(lp) - since for lp, (_, since, _) in zip(lps, new)])
+    off = np.concatenate([[0], np.cumsum(count)])
+    lp = np.concatenate([x[since:] for x, (_, since, _) in zip(lps, new)])
+    before = np.concatenate([float(x[:since].sum()) + np.cumsum(x[since:]) - x[since:] for x, (_, since, _) in zip(lps, new)])
     rest = -np.expm1(lp)
-    rest[0] = 1.0 - sum(np.exp(x) for _, x in own)
+    rest[off[:-1]] = [1.0 - sum(np.exp(x) for _, x in own) for own in owns]
     with np.errstate(divide="ignore"):
-        phi = s.lp[:since].sum() + np.cumsum(lp) - lp + np.log(np.where(rest > 1e-12, rest, 0.0))
+        phi = before + np.log(np.where(rest > LEAST_PART, rest, 0.0))
+    since = np.array([x[1] for x in new])
     ok = np.flatnonzero(np.isfinite(phi))
-    u = _uniform(np.full(len(ok), seed, U64), ok + since, np.full(1, (1 << 41) + turn))
-    value = _cut(phi[ok], s.value, u)
-    few = np.argpartition(-value, k)[:k] if len(value) > k else np.arange(len(value))
-    for j in few.tolist():
-        w = since + int(ok[j])
-        agenda.append((float(value[j]), me, w, own if w == since else [path(w)]))
+    of = np.repeat(np.arange(len(new)), count)
+    word = np.arange(len(of)) - off[:-1][of] + since[of]
+    text = np.array([x[0] for x in new])
+    u = _uniform(seeds[text[of[ok]]], word[ok], np.full(1, (1 << 41) + turn))
+    value = np.full(len(phi), -np.inf)
+    value[ok] = _cut(phi[ok], np.array([found[d][-1].value for d in text])[of[ok]], u)
+    for _ in range(k):
+        best = np.maximum.reduceat(value, off[:-1])
+        for i in np.flatnonzero(best > -np.inf).tolist():
+            at = int(off[i]) + int(np.argmax(value[off[i] : off[i + 1]]))
+            d, w = new[i][0], int(word[at])
+            taken = owns[i] if w == new[i][1] else [_path(found[d][-1], cuts[i], w)]
+            agenda[d].append((float(value[at]), len(found[d]) - 1, w, taken))
+            value[at] = -np.inf
+
+
+def _path(s: Sample, cut: np.ndarray, w: int) -> Path:
+    return tuple(s.edges[cut[w] : cut[w + 1]].tolist()), float(s.lp[w])
 
 
 SCHEMA = "sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids array<int>, round_trip boolean"
@@ -426,7 +459,7 @@ def sampled(docs: DataFrame, model_file: str = MODEL_FILE, k: int = SAMPLES, alp
 
     Sample 0 is the first drawn. ``log_inclusion`` is the log of
     the probability that a segmentation is among k drawn, given the search's bound;
-    0 where a text has no more than k. Null and empty texts have one segmentation, the empty one.
+    0 where a text has no more than k (what is less than LEAST_PART counts as none). Null and empty texts have one segmentation, the empty one.
     ``round_trip`` says that the ids decode to the text. Rows with equal keys draw
     alike, so repeated rows repeat; other columns aren't read. The model file must
     lie at the same path on all executors, or be added with ``addFile`` and named
