@@ -7,6 +7,8 @@ turned into Python objects word by word.
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,13 +35,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; sets a local one only where none is set (tests)."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared:
+    """The folder that driver and executors share: the session's, or the context's own.
+
+    Only a local session, which has one machine, may go without: it gets a temporary one.
+    """
+    context = spark.sparkContext
+    if shared := context.getConf().get("spark.checkpoint.dir", None):
         return shared
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_left: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    spark = _left.pop(path, None)
+    if spark is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@atexit.register
+def _delete_left() -> None:
+    """What results still read goes when the driver ends."""
+    for path in list(_left):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001 - the session has ended before, and there is nobody to tell
+            return
+
+
+def _written(df: DataFrame) -> tuple[str, DataFrame]:
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/quillspark-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _left[path] = spark
+    return path, spark.read.schema(df.schema).parquet(path)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -47,13 +88,35 @@ def durable(df: DataFrame) -> DataFrame:
 
     The files outlive any executor; Parquet keeps them a fraction of the size of
     an RDD checkpoint. The shuffle files of the query that wrote them are removed
-    as it ends, so a job's stages don't add up on the executors' disks.
+    as it ends, so a job's stages don't add up on the executors' disks. The folder
+    goes when the driver ends.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    path = f"{checkpoint_dir(spark)}/quillspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df)[1]
+
+
+class Scratch:
+    """Durable tables of one job, dropped together or one by one."""
+
+    def __init__(self) -> None:
+        self.paths: set[str] = set()
+
+    def durable(self, df: DataFrame) -> DataFrame:
+        path, out = _written(df)
+        self.paths.add(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables, or all that are left."""
+        for path in [t._scratch_path for t in tables] if tables else list(self.paths):
+            self.paths.discard(path)
+            _delete(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` written on its own, so that all else can go."""
+        out = durable(df)
+        self.drop()
+        return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

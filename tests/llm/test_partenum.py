@@ -47,7 +47,7 @@ def family(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("n2", "k2"), [(1, 0), (3, 1), (4, 2)])
+@pytest.mark.parametrize(("n2", "k2"), [(p.PARTS, p.LEFT_OUT), (4, 2)])
 def test_signatures_lose_no_pair(n2, k2):
     rows = family(n2)
     sets = [shingles(t, 4) for _, t in rows]
@@ -98,3 +98,50 @@ def test_graph(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 90), (5, 6)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), 90: 90, 100: 90}
+
+
+def borderline(n=60, base_len=300, change=6):
+    """Copies of one text that differ from one another by about the threshold: links are few, shared signatures many."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(base_len)]
+    rows = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.sample(range(base_len), change):
+            copy[at] = f"c{rng.randrange(10**6)}"
+        rows.append(" ".join(copy))
+    return list(enumerate(rows))
+
+
+def test_blocks_of_a_large_signature(spark, monkeypatch):
+    """Signatures are split into blocks of few rows, and these into steps of few pairs."""
+    monkeypatch.setattr(p, "BLOCK", 7)
+    monkeypatch.setattr(p, "STEP_PAIRS", 11)
+    for percent in (85, 88):
+        rows = borderline()
+        want = brute(rows, 4, percent)
+        assert 1 < len({c for _, c in want.values()}) if percent == 88 else True
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in p.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, percent).collect()}
+        assert got == want
+
+
+def test_meeting_rows_match_brute_force():
+    """All pairs of different components under the filter, in whichever batches rows come."""
+    import pyarrow as pa
+
+    shape = p.Shape(85)
+    rows = borderline(40)
+    arrays = [np.array(sorted(hash(x) & (2**64 - 1) for x in shingles(t, 4)), np.uint64) for _, t in rows]
+    sk, at = p.sketches(np.concatenate(arrays), np.concatenate([[0], np.cumsum([len(a) for a in arrays])]))
+    short = [p.fold(sk[at[i] : at[i + 1]], p.SKETCH) for i in range(len(rows))]
+    comp = [i % 5 for i in range(len(rows))]
+    block = [i % 3 for i in range(len(rows))]
+    dealt = sorted((min(b, o), max(b, o), b > o, i) for i, b in enumerate(block) for o in range(3))
+    cols = {"sig": [1] * len(dealt), "i": [d[0] for d in dealt], "j": [d[1] for d in dealt], "right": [d[2] for d in dealt], "id": [d[3] for d in dealt], "comp": [comp[d[3]] for d in dealt], "n_shingles": [len(arrays[d[3]]) for d in dealt], "wide": pa.array([None] * len(dealt), pa.list_(pa.int64()))}
+    table = pa.table(cols | {c: [int(short[d[3]][k]) for d in dealt] for k, c in enumerate(p.SKETCH_COLS)})
+    fits = {(a, b) for b in range(len(rows)) for a in range(b) if comp[a] != comp[b] and 100 * min(len(arrays[a]), len(arrays[b])) >= 85 * max(len(arrays[a]), len(arrays[b])) and p.bits_apart(short[a], short[b]) <= shape.most_apart(len(arrays[a]), len(arrays[b]))}
+    for size in (1, 7, 1000):
+        got = [(a, b) for out in p._meet(shape, False)(table.to_batches(max_chunksize=size)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        assert sorted(got) == sorted(fits)
+    best = {(a, b) for out in p._meet(shape, True)(table.to_batches()) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    assert best <= fits and {tuple(sorted((comp[a], comp[b]))) for a, b in best} == {tuple(sorted((comp[a], comp[b]))) for a, b in fits}
