@@ -1,10 +1,12 @@
 """Main text of web pages from flat text blocks and a small decision tree.
 
-A page is cut at block-level tags into blocks of text. Each has a few numbers: its
-words and link density, those of the block before and after it, and what its
-surroundings say (article, heading, boilerplate element or name). A decision tree
-trained on a small labelled table, the blocks of the pages in LABELLED, tells
-content from the rest.
+A page is cut at block-level tags into flat blocks of text. Each has a few numbers:
+its words and link density, those of the block before and after it, and what its
+surroundings say (article, boilerplate element, heading, item). A decision tree
+trained on a small labelled table, LABELLED, tells content from the rest.
+
+A class, id or role speaks for an element only if that holds at most half of the
+page's words: names on what wraps the whole text are about layout.
 """
 
 from __future__ import annotations
@@ -26,18 +28,16 @@ INLINE = "a abbr acronym b bdi bdo big br cite code data del dfn em font i img i
 #: Elements and words in class, id and role that mark what isn't the article.
 BOILER = "nav footer aside form header menu dialog button select"
 BOILER_NAME = "ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu menubar footer header masthead sidebar aside widget breadcrumb breadcrumbs comment comments reply replies discussion disqus cookie cookies consent gdpr notice notices popup modal overlay share sharing social related recommended newsletter subscribe signup login search pagination pager copyright legal disclaimer toolbar tags complementary contentinfo"
-ARTICLE = "article main"
 ARTICLE_NAME = "article content post entry story main body text"
 
-_RAW, _CODE, _VOID, _INLINE, _BOILER, _ARTICLE = (frozenset(x.split()) for x in (RAW, CODE, VOID, INLINE, BOILER, ARTICLE))
+_RAW, _CODE, _VOID, _INLINE, _BOILER = (frozenset(x.split()) for x in (RAW, CODE, VOID, INLINE, BOILER))
 _BOILER_NAME, _ARTICLE_NAME = frozenset(BOILER_NAME.split()), frozenset(ARTICLE_NAME.split())
-_HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HEADINGS, _ITEMS = frozenset(f"h{i}" for i in range(1, 7)), frozenset(("li", "dt", "dd", "td", "th", "option"))
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)""", re.S)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
-_MAY_HIDE = re.compile(r"hidden|display", re.I)
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
+_TELLS = re.compile(r"class|id|role|hidden|style", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>][^\s>]*)))?""")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _END_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 
@@ -53,44 +53,58 @@ class Block:
     item: bool
 
 
-def _hides(attrs: str) -> bool:
-    """Whether the attributes hide an element: hidden, aria-hidden=true, or the style."""
-    if not _MAY_HIDE.search(attrs):
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDING.search(value):
-            return True
-    return False
+def _said(attrs: str) -> tuple[set[str], bool]:
+    """(words of class, id and role, whether hidden): hidden is the attribute, aria-hidden=true, or the style."""
+    names: set[str] = set()
+    hidden = False
+    if attrs and _TELLS.search(attrs):
+        for m in _ATTR.finditer(attrs):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in ("class", "id", "role"):
+                names |= {w.lower() for w in _WORDS.findall(value)}
+            elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDING.search(value):
+                hidden = True
+    return names, hidden
 
 
-def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool]:
-    """(article, boilerplate, hidden) as an element's name and attributes say."""
-    names: set[str] = set()
-    if attrs:
-        for m in _NAMES.finditer(attrs):
-            names |= {w.lower() for w in _WORDS.findall(m[1] or m[2] or m[3] or "")}
-    boiler = tag in _BOILER or bool(names & _BOILER_NAME)
-    return tag in _ARTICLE or bool(names & _ARTICLE_NAME) and not boiler, boiler, bool(attrs) and _hides(attrs)
+@dataclass
+class Element:
+    """``article``: 3 an article element, 2 the main one, 1 named like one. ``named``: named like boilerplate."""
+
+    tag: str
+    parent: int
+    article: int = 0
+    boiler: bool = False
+    named: bool = False
+    hidden: bool = False
+    words: int = 0
+
+
+def _element(tag: str, attrs: str, parent: int, up: Element) -> Element:
+    names, hidden = _said(attrs)
+    named = bool(names & _BOILER_NAME)
+    kind = 3 if tag == "article" else 2 if tag == "main" or "main" in names and not named else int(bool(names & _ARTICLE_NAME) and not named)
+    return Element(tag, parent, kind, tag in _BOILER, named, up.hidden or hidden)
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order; character references decoded, white space runs one space."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, article, boilerplate, hidden
+    found: list[tuple[str, int, int, int]] = []  # text, words, linked words, element
+    elements = [Element("", 0)]
+    stack = [0]
     text: list[str] = []
-    linked, link_depth = 0, 0
-    state = (False, False, False)
-    heading = item = False
+    linked = link_depth = 0
     endless: set[str] = set()
 
     def flush() -> None:
         nonlocal text, linked
         if text:
             t = _SPACE.sub(" ", "".join(text)).strip()
-            if t and not state[2]:
+            at = stack[-1]
+            if t and not elements[at].hidden:
                 n = len(t.split())
-                out.append(Block(t, n, min(n, linked), state[0], state[1], heading, item))
+                found.append((t, n, min(n, linked), at))
+                elements[at].words += n
         text, linked = [], 0
 
     at, n = 0, len(page)
@@ -114,8 +128,8 @@ def blocks(page: str) -> list[Block]:
             if tag in _INLINE:
                 continue
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+            for i in range(len(stack) - 1, 0, -1):
+                if elements[stack[i]].tag == tag:
                     del stack[i:]
                     break
         else:
@@ -139,28 +153,38 @@ def blocks(page: str) -> list[Block]:
             flush()
             if tag in _VOID:
                 continue
-            if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
+            if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and elements[stack[-1]].tag == tag:
                 stack.pop()  # its end tag was left out
-            article, boiler, hidden = _kind(tag, m[3])
-            up = stack[-1][1:] if stack else (False, False, False)
-            # an article's own header stays part of it
-            boiler = boiler and not (tag == "header" and up[0])
-            stack.append((tag, up[0] or article, up[1] or boiler, up[2] or hidden))
+            elements.append(_element(tag, m[3], stack[-1], elements[stack[-1]]))
+            stack.append(len(elements) - 1)
             link_depth = 0
-        state = stack[-1][1:] if stack else (False, False, False)
-        top = stack[-1][0] if stack else ""
-        heading, item = top in _HEADINGS, top in ("li", "dt", "dd", "td", "th", "option")
     flush()
-    return out
+    return _placed(found, elements)
+
 
+def _placed(found: list[tuple[str, int, int, int]], elements: list[Element]) -> list[Block]:
+    """Blocks with what their elements say, from the outermost in."""
+    for e in reversed(elements[1:]):
+        elements[e.parent].words += e.words
+    total = elements[0].words
+    best = max((e.article for e in elements if e.words), default=0)
+    article, boiler = [False], [False]
+    for e in elements[1:]:
+        article.append(article[e.parent] or best > 0 and e.article == best)
+        own = e.boiler or e.named and 2 * e.words <= total
+        boiler.append(boiler[e.parent] or own and not (e.tag == "header" and article[e.parent]))  # an article's own header stays part of it
+    return [Block(t, n, linked, article[at], boiler[at], elements[at].tag in _HEADINGS, elements[at].tag in _ITEMS) for t, n, linked, at in found]
 
-FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "article", "boiler", "heading", "item", "page_article"]
+
+FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "article", "boiler", "heading", "item", "outside"]
 
 
 def features(bs: list[Block]) -> np.ndarray:
+    """A row for each block; ``outside`` says that the page has an article and the block isn't in it."""
     w = np.array([0, *(b.words for b in bs), 0], float)
     d = np.array([0, *(b.linked / b.words for b in bs), 0], float)
-    flags = np.array([[b.article, b.boiler, b.heading, b.item, any(x.article and not x.boiler for x in bs)] for b in bs], float).reshape(-1, 5)
+    has = any(b.article and not b.boiler for b in bs)
+    flags = np.array([[b.article, b.boiler, b.heading, b.item, has and not b.article] for b in bs], float).reshape(-1, 5)
     return np.column_stack([w[1:-1], d[1:-1], w[:-2], d[:-2], w[2:], d[2:], flags]) if bs else np.zeros((0, len(FEATURES)))
 
 
@@ -175,7 +199,7 @@ class Node:
     above: Node | None = None
 
 
-def train(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def train(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 2) -> Node:
     """CART by Gini impurity; ties go to the first feature and the least cut."""
     leaf = Node(-1, 0.0, bool(y.mean() >= 0.5) if len(y) else False)
     if depth == 0 or len(y) < 2 * least or y.all() or not y.any():
@@ -201,27 +225,58 @@ def decide(node: Node, row: np.ndarray) -> bool:
     return node.content
 
 
-#: The labelled table: small pages, and for each of their blocks 1 (content) or 0.
-LABELLED: list[tuple[str, str]] = [
-    ("<nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>About us</a></li></ul></nav><div class=ad>Buy the new phone now, today only.</div><article><h1>River rises</h1><p>The river rose two metres in one night, and the town moved its market to the hill.</p><p>Nobody was hurt.</p></article><footer>&copy; 2020 The Town Paper. All rights reserved.</footer>", "00001110"),
-    ("<div id=menu><a href=a>Start</a> | <a href=b>Contact</a></div><div class=content><h2>Bread</h2><p>Flour, water and salt make a dough that rests for a day before it is baked.</p><p>Bake it hot.</p><p>Let it cool on a rack, then wait an hour before you cut the first slice of it.</p></div><div class=sidebar><p>Our other recipes for the season are collected in a book that you can order here.</p></div><div class=comments><p>I tried this yesterday and it worked very well for all of us, thank you for it!</p></div>", "0111100"),
-    ("<header><p>The Daily Example, founded long ago</p></header><main><h1>Short note</h1><p>Closed today.</p><p>Open again <a href=x>on Monday</a>.</p></main><aside><p>Most read stories of the week in a list for you to choose from at any time.</p></aside><form><p>Sign up for our letter and get the best stories in your box each morning.</p></form>", "011100"),
-    ("<p><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></p><h1>Plain page</h1><p>Pages without any hints still have long paragraphs of running text, and hardly a link in them.</p><p>A second paragraph follows the first, with as many words as it takes to say what it has to say.</p><p><a href=9>Next page</a></p><p>Terms</p>", "011100"),
-    ("<div><a href=1>Login</a></div><p>This old page has no article element, but this is a paragraph of its text, and it is long enough.</p><p>Here is <a href=2>a link</a> within a paragraph of many other words that are not part of any link at all.</p><ul><li><a href=3>Archive</a></li><li><a href=4>Feeds</a></li></ul>", "01100"),
-    ("<article><h1>List of tools</h1><p>You need:</p><ul><li>a saw</li><li>a hammer</li><li>nails</li></ul><p>Then <a href=q>see the plan</a> and begin with the longest side of the frame.</p><div class=share><a href=f>Share</a></div></article><footer><p>Imprint and contact of the publisher, with an address in the city and a number to call.</p></footer>", "11111100"),
-    ("<div class=cookie-notice><p>We use cookies to make this site work and to learn how it is used by our readers.</p></div><article><header><h1>Night train</h1></header><p>It leaves at ten.</p><p>It arrives at six in the morning, and breakfast is served an hour before that.</p><div class=related><p><a href=z>More on trains and how to book them</a></p></div></article><div class=advert><p>Cheap tickets for all trains in the country, book now and save half of the price.</p></div>", "011100"),
-    ("<nav><a href=1>A</a></nav><article><p>Word.</p><p><b>Bold lead of the story that goes on for a while.</b></p><p>Yes.</p><p>It was the longest summer that anyone there could remember, and the wells ran dry one by one.</p></article><footer>&copy; blog.example.org &middot; Some words follow here to fill the line.</footer>", "011110"),
-]
+#: The labelled table: a page in each line, its blocks in order. A block is a letter (p paragraph, h heading, i item), its
+#: words / those in links, and + (content) or -; before it A if it lies in the article, B if in boilerplate.
+LABELLED = """
+Bi1/1- Bi1/1- Bi2/2- p14/0- Ah6/0+ Ap48/0+ Ap2/0+ Ap61/1+ p11/0-
+Bi1/1- Bi3/3- Ah4/0+ Ap1/0+ Ap37/0+ Ap1/0+ Ap4/0+ Bp12/0-
+Bp18/0- Ah9/0+ Ap55/0+ Ap70/4+ ABp22/0- Ap31/0+ ABi2/2- p44/0- p29/0-
+Ah5/0+ Ap3/0+ Ai2/0+ Ai3/0+ Ai1/0+ Ap26/0+ Bp30/0- Bp41/0-
+Ah3/0+ Ap28/2+ Ap4/4+ Ap33/0+ Ap52/0+ Ai1/1- Ai1/1- Ai2/2-
+Ap44/0+ Ap5/5+ Ap39/1+ Ap3/3+ Ap25/0+ Ap6/6- Ap7/7- Ap5/5-
+Ah7/0+ Ap60/0+ Ap8/8+ Ap47/3+ Ap4/4- Ap3/3- p33/0- i9/9-
+Ah8/0+ Ai4/3- Ai5/4- Ap35/0+ Ap2/2+ Ap58/0+ ABp19/0- Bp2/0-
+i1/1- i1/1- i1/1- h5/0+ p34/0+ p46/1+ p8/0+ p51/0+ i2/2- i1/1- p4/0-
+p3/3- h7/0+ p41/0+ p5/0+ p38/2+ p44/0+ p3/0- i2/2- i3/3-
+i2/2- i1/1- p29/0+ p35/3+ p6/0+ p57/0+ p2/2- p2/0-
+i1/1- i2/2- h4/0- i1/1- h6/0+ p24/0+ p62/0+ h3/0+ p48/0+ h2/0- i4/4- i5/5-
+p6/5- p7/6- h8/0+ p3/0+ p71/0+ p33/1+ h3/0- i6/6- i7/7- i5/5-
+i1/1- i1/1- h9/0+ p66/5+ p27/0+ i5/0+ i4/0+ i7/1+ p39/0+ i1/1- p8/0-
+p22/20- p24/21- h4/0+ p30/4+ p45/6+ p37/2+ p19/17- p26/25-
+p2/0- i1/1- i1/1- h6/0+ p49/0+ p10/0+ p36/0+ p7/0- i2/2- i1/1-
+Bp40/0- Bp26/0- h5/0+ p33/0+ p58/2+ Bp48/0- Bp35/0- Bp51/3-
+Bi2/2- Bp20/0- p63/0+ p2/0+ p44/0+ Bp37/0- Bp6/0- Bp9/9-
+Bh3/0- Bi4/4- h6/0+ p47/1+ Bp15/0- p32/0+ Bh2/0- Bp28/0- Bp53/0-
+i1/1- i1/1- h2/0+ p17/0+ p20/0+ i1/1- i2/2- p2/0-
+h2/0+ p13/0+ p16/2+ p19/0+
+p17/0+
+Ap17/0+
+Ap2/0+ Ap1/0+
+Ah2/0+ Ap17/0+ Ap18/0+ p19/0-
+Ap40/0+ p26/0- p31/0- p12/0-
+Ah6/0+ Ap50/0+ Ap5/0+ Ap6/6- Ap7/7-
+Ap70/0+ Ap20/0+ Ap5/5- p30/0-
+Ah5/0+ Ap61/3+ Ap3/0+ p6/0-
+Ap64/0+ Ap9/0+ Ai2/2- Ai2/2- p40/0-
+Ap48/5+ Ap24/0+ Ai2/0+ Ap5/5- Bp20/0-
+Ah8/0+ Ap8/1+ Ap11/0+ Ai1/1- Ai3/3-
+Ap17/0+ Ap7/7+ Ap20/0+
+Ap18/0+ Ap19/0+ Ap7/7- Ap6/6- Ap7/7-
+"""
+_MARK = re.compile(r"(A?)(B?)([phi])(\d+)/(\d+)([+-])")
 
 
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
+    """Features and marks of LABELLED's blocks; each page also without what stands before its content, after it, and both."""
     xs, ys = [], []
-    for page, marks in LABELLED:
-        bs = blocks(page)
-        if len(bs) != len(marks):
-            raise ValueError(f"{len(bs)} blocks, {len(marks)} labels: {[b.text for b in bs]}")
-        xs.append(features(bs))
-        ys.append(np.array([m == "1" for m in marks]))
+    for line in LABELLED.strip().split("\n"):
+        marks = _MARK.findall(line)
+        page = [Block("", int(n), int(linked), bool(a), bool(b), kind == "h", kind == "i") for a, b, kind, n, linked, _ in marks]
+        content = np.array([m[5] == "+" for m in marks])
+        first, last = int(np.argmax(content)), len(page) - int(np.argmax(content[::-1]))
+        for part in sorted({(a, b) for a in (0, first) for b in (last, len(page))}):
+            xs.append(features(page[slice(*part)]))
+            ys.append(content[slice(*part)])
     return np.concatenate(xs), np.concatenate(ys)
 
 
