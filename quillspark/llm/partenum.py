@@ -446,9 +446,9 @@ def row_components(rows: DataFrame, width: int, percent: int) -> DataFrame:
     sketched, reps = reps.select(F.col("rep").alias("id"), *whole), reps.select("h0", "h1", "rep")
     member = work.durable(full.select("id", "h0", "h1").join(reps, ["h0", "h1"]).select("id", "rep"))
 
-    # Signatures that several ids have. Only extremes are kept for each, so a common one is summed before it travels.
+    # Signatures that several rows have: counted, so that a common one is summed before it travels.
     sigs = keyed.mapInArrow(_emit(width, shape), "sig bigint, id bigint")
-    several = work.durable(sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig"))
+    several = work.durable(sigs.groupBy("sig").count().where("count > 1").select("sig"))
     shared = work.durable(sigs.join(several, "sig"))
     work.drop(several)
     # Equal sets become their representative; what then has one member is done.
