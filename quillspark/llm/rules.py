@@ -3,13 +3,16 @@
 Sequential covering: a rule, a conjunction of thresholds on statistics, is grown
 condition by condition for the largest information gain on two thirds of the
 labelled rows and pruned on the last third; rows it covers leave, and the next rule
-is grown, until rules stop being precise. The rules come out in order as one Spark
-conditional expression.
+is grown. A rule is taken if it shortens the description of the labels: the bits that
+say the rule, which of the rows it covers are good, and which of the others are bad.
+Where none is taken other splits into rows to grow and to prune are tried. The rules
+come out in order as one Spark conditional expression.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,8 @@ from .common import chunks, window_hashes, window_sums
 MAX_LABELLED = 20_000
 #: Words of a repeated window; characters that count as symbols.
 WINDOW, SYMBOLS = 8, b"#*$%&|<>"
-#: Least precision and rows of a rule (on rows to grow and to prune), most conditions and rules, thresholds tried per statistic.
-MIN_PRECISION, MIN_ROWS, MAX_CONDITIONS, MAX_RULES, CUTS = 0.95, 8, 4, 12, 64
+#: Least precision of a rule (clean rows matter most), most conditions and rules, thresholds tried per statistic, splits tried for a rule.
+MIN_PRECISION, MAX_CONDITIONS, MAX_RULES, CUTS, TRIES = 0.9, 4, 12, 64, 8
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_upper", "n_letters", "n_marks", "n_digits", "n_distinct", "n_lines", "most_common"]
@@ -187,21 +190,43 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return max((rule[:i] for i in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)), default=())
 
 
+def _subset_bits(n: int, k: int) -> float:
+    """Bits that say which ``k`` of ``n`` rows: their number, then one of the choices."""
+    return np.log2(n + 1) + (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) / np.log(2)
+
+
+def _exception_bits(hit: np.ndarray, bad: np.ndarray) -> float:
+    """Bits that say the good rows among those hit and the bad ones among the others."""
+    return float(_subset_bits(int(hit.sum()), int((hit & ~bad).sum())) + _subset_bits(int((~hit).sum()), int((~hit & bad).sum())))
+
+
+def _rule_bits(rule: Rule, features: int) -> float:
+    """Bits that say a rule: for each condition its statistic, its side and its cut; halved, as the order of conditions is free."""
+    return len(rule) * (np.log2(features) + 1 + np.log2(CUTS)) / 2
+
+
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 0) -> list[Rule]:
-    """An ordered list of rules that mark bad rows; empty where nothing precise is found."""
+    """An ordered list of rules that mark bad rows; empty where none shortens the description."""
     rules: list[Rule] = []
-    left = np.ones(len(bad), bool)
-    rng = np.random.default_rng(seed)
-    while len(rules) < MAX_RULES and (left & bad).sum() >= MIN_ROWS:
-        at = rng.permutation(np.flatnonzero(left))
-        grow, prune = at[: len(at) * 2 // 3], at[len(at) * 2 // 3 :]
-        part = lambda i: {k: v[i] for k, v in x.items()}
-        rule = _prune(_grow(part(grow), bad[grow]), part(prune), bad[prune])
-        hit = _covered(rule, x, len(bad)) & left
-        if not rule or hit.sum() < MIN_ROWS or (hit & bad).sum() < MIN_PRECISION * hit.sum():
+    left, rng = np.ones(len(bad), bool), np.random.default_rng(seed)
+    part = lambda i: {k: v[i] for k, v in x.items()}
+    while len(rules) < MAX_RULES and (left & bad).any():
+        before, best, gain = _exception_bits(~left, bad), None, 0.0
+        for _ in range(TRIES):
+            at = rng.permutation(np.flatnonzero(left))
+            grow, prune = at[: len(at) * 2 // 3], at[len(at) * 2 // 3 :]
+            grown = _grow(part(grow), bad[grow])
+            for rule in dict.fromkeys((_prune(grown, part(prune), bad[prune]), grown)):
+                hit = _covered(rule, x, len(bad)) & left
+                if not rule or (hit & bad).sum() < MIN_PRECISION * hit.sum():
+                    continue
+                saved = before - _exception_bits(~left | hit, bad) - _rule_bits(rule, len(x))
+                if saved > gain:
+                    best, gain = rule, saved
+        if best is None:
             break
-        rules.append(rule)
-        left &= ~hit
+        rules.append(best)
+        left &= ~_covered(best, x, len(bad))
     return rules
 
 

@@ -57,3 +57,33 @@ def test_quality(spark, corner_docs, no_docs):
     assert none.count() == corner_docs.count() and none.where("kept AND base_failed").count() == 0
     assert all(r.kept for r in rows if r.quality == 1)
     assert rules.quality(no_docs, labels).count() == 0
+
+
+def test_rules_are_learned_at_every_scale(spark, documents):
+    """Even 80 labels give a rule; the verdict of every document is the list's, read row by row."""
+    from .conftest import SF
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    learned = rules.learn_from(documents, labels)
+    assert learned
+    got = rules.apply_rules(documents.withColumns({"kept": F.lit(1), "rule": F.lit("x")}), learned).collect()
+    assert len(got) == documents.count()
+    for r in got:
+        n, chars, symbols, dup, repeat = brute(r.text)
+        failed = n < 20 or 100 * repeat > 30 * n
+        number = 0
+        if n:
+            of = {"mean_word_chars": chars / n, "symbols_per_word": symbols / n, "marks_per_word": r.n_marks / n, "digits_per_word": r.n_digits / n, "upper_share": r.n_upper / max(r.n_letters, 1), "distinct_share": r.n_distinct / n, "most_common_share": r.most_common / n, "dup_line_share": dup / max(r.n_lines, 1), "repeat_share": repeat / n, "words": float(n)}
+            fits = [all(of[c.feature] > c.cut if c.above else of[c.feature] <= c.cut for c in rule) for rule in learned]
+            number = next((i for i, f in enumerate(fits, 1) if f), 0)
+        assert (r.base_failed, r.rule, r.kept) == (failed, number, not failed and not number), r.doc_id
+
+
+def test_a_rule_must_shorten_the_description():
+    rng = np.random.default_rng(3)
+    x = {"a": rng.random(400), "b": rng.random(400)}
+    assert rules.learn(x, rng.random(400) < 0.1) == []  # labels without any pattern
+    few = np.zeros(60, bool)
+    few[:6] = True
+    found = rules.learn({"a": np.concatenate([np.full(6, 0.9), np.linspace(0, 0.5, 54)])}, few)
+    assert len(found) == 1 and found[0][0].above and 0.5 <= found[0][0].cut < 0.9
