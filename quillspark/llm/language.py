@@ -24,7 +24,12 @@ GRAMS, FEATURES = (1, 2, 3), 1 << 15
 #: Follow the regularised leader: rate, its offset, penalties, passes.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-3, 1e-4, 3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAY_BE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category (fractions and circled numbers aren't)."""
+    return any(m[0].isalpha() for m in _MAY_BE_LETTER.finditer(text))
 
 
 def counts(text: str) -> np.ndarray:
@@ -57,7 +62,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, probability); UNKNOWN and 0 without a letter or a learned language."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         at, x = weights(text, self.idf)
         p = _softmax((x @ self.w[at]) / self.temperature)
@@ -133,7 +138,7 @@ def fit_from(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     # ids first, so that only the chosen rows' texts are moved
     ids = fold.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     got = fold.join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "lang", "text"], kind="stable")
-    got = got[[bool(_LETTER.search(t)) for t in got["text"]]] if len(got) else got
+    got = got[[has_letter(t) for t in got["text"]]] if len(got) else got
     langs = sorted(set(got["lang"]))
     if not langs:
         return Model([], idf, np.zeros((FEATURES, 0)), 1.0)

@@ -73,3 +73,9 @@ def test_ftrl_is_sparse_and_temperature_calibrates():
     logits = np.array([[4.0, 0.0]] * 100)
     t = language.temperature(logits, np.array([0] * 75 + [1] * 25))
     assert t == pytest.approx(4 / np.log(3), rel=0.05)
+
+
+def test_letters():
+    assert not any(language.has_letter(t) for t in ("½ ² ① 3", "", "12 !?", "१२", "_")) and all(language.has_letter(t) for t in ("1 a", "½é", "ß", "你", "ªb"))
+    model = language.Model(["en"], np.ones(language.FEATURES), np.zeros((language.FEATURES, 1)), 1.0)
+    assert model.predict("½ ²") == ("und", 0.0)
