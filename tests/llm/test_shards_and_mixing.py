@@ -93,3 +93,61 @@ def test_mixed_documents_agree_with_counts(spark, documents):
     assert got == {r.doc_id: r.taken for r in mixing.mixed_counts(documents).collect() if r.taken}
     texts = {r.doc_id: r.text for r in documents.collect()}
     assert all(r.text in texts[r.doc_id] for r in mix.collect())
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["size", "start", "target", "source_size", "_w", "_row", "_block", "block", "words", "from", "group", "_key", "n"]
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 7 + 1), None if i % 3 else "s", 5) for i in range(40)], "doc_id bigint, text string, source string, n_chars bigint")
+    plain = Counter((r.doc_id, r.text, r.n_chars) for r in mixing.mixed_documents(docs).collect())
+    wide = docs.withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    got = mixing.mixed_documents(wide)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in rows) == plain and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+    assert mixing.mixed_documents(wide.limit(0)).count() == 0
+    counts = mixing.mixed_counts(wide.repartition(3))
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in mixing.mixed_counts(docs).collect()}
+
+
+def test_draws_follow_the_law_given_the_totals(spark):
+    """Counts of a shard: mean and variance of draws without replacement from the sources' totals; each total is exact."""
+    import numpy as np
+
+    targets = spark.createDataFrame([("a", 128_000, 64_000.0), ("b", 64_000, 64_000.0), (None, 6_400, 12_800.0)], "source string, source_size bigint, target double")
+    seen = []
+    for seed in range(24):
+        rows = mixing.draws(targets, seed=seed, shard_slots=110).collect()
+        total, shard = Counter(), Counter()
+        for r in rows:
+            total[r.source] += r.n
+            shard[r.shard] += r.n
+        assert total == {"a": 500, "b": 500, None: 100} and set(shard.values()) == {110} and len(shard) == 10
+        seen += [r.n for r in rows if r.source == "a"]
+    n, p, width = 1100, 500 / 1100, 110
+    law = width * p * (1 - p) * (n - width) / (n - 1)
+    assert abs(np.mean(seen) - width * p) < 1e-9 and 0.7 < np.var(seen) / law < 1.35
+
+
+def test_slots_use_every_block_before_one_again(spark):
+    targets = spark.createDataFrame([("a", 1000, 1500.0), ("b", 300, 600.0), ("c", 5, 1.0), ("d", 0, 0.0)], "source string, source_size bigint, target double")
+    rows = mixing.slots(mixing.draws(targets, 10, shard_slots=32)).collect()
+    assert Counter((r.source, r["pass"]) for r in rows) == {("a", 0): 100, ("a", 1): 50, ("b", 0): 30, ("b", 1): 30}
+    for s, n in (("a", 100), ("b", 30)):
+        assert sorted(r.block for r in rows if r.source == s and r["pass"] == 0) == list(range(n))
+    by = Counter(r.shard for r in rows)
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((k, i) for k, n in by.items() for i in range(n))
+
+
+def test_sizes_and_targets_of_the_query(spark, documents):
+    """Brute force: words of each document, sizes and targets of its source."""
+    import re
+
+    rows = documents.collect()
+    size = Counter()
+    for r in rows:
+        size[r.source] += len(re.findall("[^\x20\x09-\x0D]+", r.text or ""))
+    want = fill(size)
+    of = {r.doc_id: r for r in rows}
+    for r in mixing.mixed_counts(documents).collect():
+        d = of[r.doc_id]
+        assert r.size == len(re.findall("[^\x20\x09-\x0D]+", d.text or "")) and r.source_size == size[d.source] and r.target == pytest.approx(want[d.source])
