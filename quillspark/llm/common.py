@@ -237,19 +237,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
-#: Stands for a missing id among keys.
-NO_ID = -(1 << 63)
-
-
-def with_ordinal(docs: DataFrame, *carry: str) -> DataFrame:
-    """``k, text, ord``: the id (NO_ID if null), and 0 for its first row, 1, 2, ... for rows that repeat it; then ``carry``."""
-    from pyspark.sql import Window
-
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("k"), "text", *carry)
-    w = Window.partitionBy("k").orderBy(F.xxhash64("text"), "text")
-    return keyed.select("k", "text", (F.row_number().over(w) - 1).alias("ord"), *carry)
-
-
 def crc_fold(key: str = "doc_id"):
     """crc32 of the id written as text, modulo 5; 0 is the held-out fold."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5

@@ -32,7 +32,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are left when all windows of 35 words that start elsewhere too are gone."""
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"), width=35).drop("ord")
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), width=35)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,18 @@ def test_corners(spark, corner_docs, no_docs):
     kept = s.remove_repeats(corner_docs, 35, keep_text=True).where("n_removed = 0 AND doc_id = 6").head()
     assert kept.kept_text == rows[6].text
     assert s.remove_repeats(no_docs).count() == 0
+
+
+def test_rows_without_or_with_equal_ids(spark):
+    """Each row is judged as a document of its own: nulls, repeats, equal rows, the least and largest ids."""
+    line = " ".join(f"p{i}" for i in range(8))
+    rows = [(None, f"one {line}"), (None, "two only here and nowhere else at all"), (None, f"{line} three"), (-(1 << 63), "low " + line), ((1 << 63) - 1, "a b c d e f g h i"), (5, "same row of words here"), (5, "same row of words here"), (5, "another text of it"), (None, None), (None, "")] + [(None, "copy of one hot text without any id at all")] * 40
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in s.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).collect())
+    assert got == Counter((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 5)))
+
+
+def test_carried_columns_of_any_name(spark):
+    names = ("r0", "r1", "hits", "misses", "_hits", "place", "key", "k", "n_chars")
+    d = spark.createDataFrame([(i, f"w{i} x y z") for i in range(6)], "doc_id bigint, text string").withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    rows = s.remove_repeats(d, 3, keep_text=True, carry=names).collect()
+    assert len(rows) == 6 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names) and {r.kept_text for r in rows} == {f"w{i}" for i in range(6)}
