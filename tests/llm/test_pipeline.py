@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as c
 from quillspark.llm import rules
 
@@ -35,10 +37,37 @@ def test_stages(spark, documents, tmp_path):
     passages = {r.doc_id: r.text for r in outs["repeated_passages"].collect()}
     assert all(r.text in passages[r.doc_id] for r in outs["mixed_sources"].collect())
     pieces = outs["sampled_pieces"].collect()
-    assert len(pieces) == outs["mixed_sources"].count() and all(r.round_trip for r in pieces)
+    assert all(r.round_trip for r in pieces) and Counter(r.doc_id for r in pieces if r.sample == 0) == Counter(r.doc_id for r in outs["mixed_sources"].collect())
+    assert {r.sample for r in pieces} == {0, 1}
+
+
+def rich(i, n=60):
+    return " ".join(f"w{i}x{j}y" for j in range(n))
+
+
+def test_run_on_corners(spark, corner_docs, tmp_path):
+    """One source, so that the mix takes every document: what is left is known."""
+    passage = " ".join(f"pass{j}" for j in range(c.PASSAGE + 5))
+    rows = [(1, rich(1)), (2, rich(2)), (3, rich(2)), (None, rich(3)), (None, rich(4)), (5, rich(5)), (5, rich(6)), (-7, rich(7)), (8, rich(7) + " end"), (9, passage + " " + rich(9, 30)), (10, rich(10, 30) + " " + passage), (11, rich(11)), (11, rich(11))]
+    kept = [(1, rich(1)), (2, rich(2)), (None, rich(3)), (None, rich(4)), (5, rich(5)), (5, rich(6)), (-7, rich(7)), (9, rich(9, 30)), (10, rich(10, 30)), (11, rich(11))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clash = {x: F.lit(7) for x in ("kept", "rule", "n_words", "size", "start", "target", "component", "_row", "_node", "hits", "ord")}
+    docs.union(corner_docs.select(*docs.columns[:3], F.lit("s").alias("source"), "n_chars")).withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    mix = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in c.STAGES[:4]:
+        mix = stage(spark, mix, str(tmp_path))
+        assert mix.columns == [*docs.columns, *clash]
+    mix = mix.collect()
+    words = lambda found: Counter((i, w) for i, w in found)
+    want = words((i, w) for i, t in kept for w in t.split())
+    got = words((r.doc_id, w) for r in mix for w in r.text.split())
+    assert set(got) == set(want) and all(n <= got[x] <= 2 * n for x, n in want.items()) and all(r[x] == 7 for r in mix for x in clash)
+    pieces = c.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in pieces if r.sample == 0) == Counter(r.doc_id for r in mix) and all(r.round_trip for r in pieces)
 
 
-def test_run_and_corners(spark, corner_docs, tmp_path):
-    corner_docs.write.parquet(str(tmp_path / "documents.parquet"))
+def test_run_on_an_empty_table(spark, no_docs, tmp_path):
+    no_docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
-    assert c.run(spark, str(tmp_path)).count() >= 0
+    assert c.run(spark, str(tmp_path)).count() == 0
