@@ -203,28 +203,44 @@ def _info(width: int):
     return run
 
 
+def _emitted(batches, width: int, shape: Shape):
+    """(ids, signatures, indices of ids) of each chunk; equal sets emit once in a task."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for a, b, tokens in chunks(batch.column(1), lower_ascii=True):
+            h, off = shingle_sets(tokens, width)
+            doc = np.repeat(np.arange(b - a), np.diff(off))
+            sets = np.stack([_sums(doc, mix64(h ^ U64(seed)), b - a) for seed in (0x1B873593, 0xCC9E2D51)], 1)
+            first = []
+            for i, row in enumerate(sets):
+                if (key := row.tobytes()) not in seen:
+                    seen.add(key)
+                    first.append(i)
+            first, sizes = np.array(first, np.int64), np.diff(off)
+            h = h[ragged(off[:-1][first], sizes[first])]
+            yield ids[a:b][first], *signatures(h, np.concatenate([[0], np.cumsum(sizes[first])]), shape)
+
+
+def _counts(width: int, shape: Shape):
+    """Arrow function: (id, text) to (sig, n), summed in each chunk."""
+
+    def run(batches):
+        for _, sig, _ in _emitted(batches, width, shape):
+            sig, n = np.unique(sig, return_counts=True)
+            for i in range(0, len(sig), _ROW_LIMIT):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + _ROW_LIMIT].view(np.int64)), pa.array(n[i : i + _ROW_LIMIT].astype(np.int32))], names=["sig", "n"])
+
+    return run
+
+
 def _emit(width: int, shape: Shape):
-    """Arrow function: (id, text) to (sig, id). Equal sets emit once in a task."""
+    """Arrow function: (id, text) to (sig, id)."""
 
     def run(batches):
-        seen: set[bytes] = set()
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, tokens in chunks(batch.column(1), lower_ascii=True):
-                h, off = shingle_sets(tokens, width)
-                doc = np.repeat(np.arange(b - a), np.diff(off))
-                sets = np.stack([_sums(doc, mix64(h ^ U64(seed)), b - a) for seed in (0x1B873593, 0xCC9E2D51)], 1)
-                first = []
-                for i, row in enumerate(sets):
-                    if (key := row.tobytes()) not in seen:
-                        seen.add(key)
-                        first.append(i)
-                first, sizes = np.array(first, np.int64), np.diff(off)
-                h = h[ragged(off[:-1][first], sizes[first])]
-                sig, which = signatures(h, np.concatenate([[0], np.cumsum(sizes[first])]), shape)
-                who = ids[a:b][first][which]
-                for i in range(0, len(sig), _ROW_LIMIT):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + _ROW_LIMIT].view(np.int64)), pa.array(who[i : i + _ROW_LIMIT])], names=["sig", "id"])
+        for ids, sig, which in _emitted(batches, width, shape):
+            for i in range(0, len(sig), _ROW_LIMIT):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + _ROW_LIMIT].view(np.int64)), pa.array(ids[which[i : i + _ROW_LIMIT]])], names=["sig", "id"])
 
     return run
 
@@ -437,18 +453,22 @@ def row_components(rows: DataFrame, width: int, percent: int) -> DataFrame:
     shape, work = Shape(percent), Scratch()
     keyed = rows.select(F.col("id").cast("bigint"), "text", F.col("doc_id").cast("bigint"))
     n_sk = ", ".join(f"{c} bigint" for c in SKETCH_COLS)
-    info = work.durable(keyed.mapInArrow(_info(width), f"id bigint, doc_id bigint, n_shingles bigint, h0 bigint, h1 bigint, {n_sk}, sketch array<bigint>, wide array<bigint>"))
+    sketched = work.durable(keyed.mapInArrow(_info(width), f"id bigint, doc_id bigint, n_shingles bigint, h0 bigint, h1 bigint, {n_sk}, sketch array<bigint>, wide array<bigint>"))
     keyed = keyed.drop("doc_id")
-    full = info.where("n_shingles > 0")
+    full = sketched.where("n_shingles > 0")
     # Equal sets are one: the least id's. Written first, so that a set with very many rows is split in joins.
     whole = ["n_shingles", *SKETCH_COLS, "sketch", "wide"]
     reps = work.durable(full.groupBy("h0", "h1").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in whole)))
-    sketched, reps = reps.select(F.col("rep").alias("id"), *whole), reps.select("h0", "h1", "rep")
+    info = work.durable(sketched.select("id", "doc_id", "n_shingles", "h0", "h1"))
+    work.drop(sketched)
+    sketched, reps, full = reps.select(F.col("rep").alias("id"), *whole), reps.select("h0", "h1", "rep"), info.where("n_shingles > 0")
     member = work.durable(full.select("id", "h0", "h1").join(reps, ["h0", "h1"]).select("id", "rep"))
 
-    # Signatures that several rows have: counted, so that a common one is summed before it travels.
+    # Signatures that several rows have. A common one is summed in chunks before it travels; most are single,
+    # so that a table of all of them on either side of the exchange would only take memory.
+    counts = keyed.mapInArrow(_counts(width, shape), "sig bigint, n int").repartition("sig")
+    several = work.durable(counts.groupBy("sig").agg(F.sum("n").alias("_n")).where("_n > 1").select("sig"))
     sigs = keyed.mapInArrow(_emit(width, shape), "sig bigint, id bigint")
-    several = work.durable(sigs.groupBy("sig").count().where("count > 1").select("sig"))
     shared = work.durable(sigs.join(several, "sig"))
     work.drop(several)
     # Equal sets become their representative; what then has one member is done.
