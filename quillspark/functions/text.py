@@ -22,8 +22,9 @@ def _nfc(x: pa.Array) -> pa.Array:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode normal form C."""
-    return F.arrow_udf(_nfc, "string")(c)
+    """Unicode normal form C. Texts whose characters are all below U+0300 are normal as they are and don't go to Python."""
+    may_change = F.rlike(c, F.lit("[^\\x{0}-\\x{2FF}]"))
+    return F.coalesce(F.arrow_udf(_nfc, "string")(F.when(may_change, c)), c)
 
 
 def collapse(c: Column) -> Column:

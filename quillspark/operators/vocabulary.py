@@ -40,10 +40,23 @@ def vocabulary_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "ch", "full_outer").withColumn("change", change)
 
 
+#: Characters of a vocabulary that is put into an expression; a larger one is joined.
+MAX_INLINE = 20_000
+
+
 def oov_rows(df: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Per row and foreign character its occurrences: counted per row first, then joined to the vocabulary."""
-    per_row = char_rows(df, keys, text).groupBy(*keys, "ch").agg(F.count("*").alias("n"))
-    return per_row.join(vocab.select("ch"), "ch", "left_anti")
+    """Per row and foreign character its occurrences.
+
+    The vocabulary (at most MAX_INLINE characters) is deleted from each text in
+    place, so that only foreign characters are ever rows; a larger vocabulary is
+    joined to the characters.
+    """
+    known = [r["ch"] for r in vocab.select("ch").where("ch IS NOT NULL").limit(MAX_INLINE + 1).collect()]
+    if len(known) > MAX_INLINE:
+        per_row = char_rows(df, keys, text).groupBy(*keys, "ch").agg(F.count("*").alias("n"))
+        return per_row.join(vocab.select("ch"), "ch", "left_anti")
+    foreign = df.select(*keys, F.translate(F.col(text), "".join(known), "").alias("_foreign")).where("_foreign <> ''")
+    return char_rows(foreign, keys, "_foreign").groupBy(*keys, "ch").agg(F.count("*").alias("n"))
 
 
 def oov_summary(df: DataFrame, vocab: DataFrame, group: str, row_id: str, text: str = "text") -> DataFrame:

@@ -18,37 +18,41 @@ def pairs(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("prediction", F.lead("text").over(w)).withColumnRenamed("text", "reference").where("prediction IS NOT NULL")
 
 
-def ascii_pairs(spark, sf_dir):
-    """The pairs of ASCII texts only, as _PAIRS has them: DuckDB's levenshtein counts bytes."""
-    return pairs(spark, sf_dir).where("length(reference) = octet_length(reference) AND length(prediction) = octet_length(prediction)")
-
-
-_PAIRS = "SELECT * FROM (SELECT conv_id, turn, role, text AS reference, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prediction FROM conversations) WHERE prediction IS NOT NULL AND length(reference) = strlen(reference) AND length(prediction) = strlen(prediction)"
-_DIST = f"SELECT *, levenshtein(reference, prediction) AS cd, length(reference) AS rc, reference = prediction AS exact FROM ({_PAIRS})"
+#: DuckDB's levenshtein counts bytes, so a pair's characters become the bytes 1 to 127 (a pair has fewer), and so do the
+#: words that both texts have; the other words of a text match nothing and share one byte, each text its own.
+_PAIRS = "SELECT * FROM (SELECT conv_id, turn, role, text AS reference, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prediction FROM conversations) WHERE prediction IS NOT NULL"
+_BYTES = "(SELECT string_agg(chr(CAST(i AS INTEGER)), '' ORDER BY i) FROM range(1, 128) t(i))"
+_SIGNS = f"SELECT *, array_to_string(list_distinct(string_split(reference || prediction, '')), '') AS signs FROM ({_PAIRS})"
+_DIST = f"SELECT *, levenshtein(translate(reference, signs, {_BYTES}), translate(prediction, signs, {_BYTES})) AS cd, length(reference) AS rc, reference = prediction AS exact FROM ({_SIGNS})"
+_WORDS = f"SELECT *, list_filter(string_split_regex(reference, '\\s+'), lambda w: w <> '') AS rw, list_filter(string_split_regex(prediction, '\\s+'), lambda w: w <> '') AS pw FROM ({_DIST})"
+_COMMON = f"SELECT *, list_distinct(list_intersect(rw, pw)) AS common FROM ({_WORDS})"
+_WORD_BYTES = "array_to_string(list_transform({words}, lambda w: chr(CAST(coalesce(list_position(common, w) + 2, {own}) AS INTEGER))), '')"
+_WORD_DIST = f"SELECT *, levenshtein({_WORD_BYTES.format(words='rw', own=1)}, {_WORD_BYTES.format(words='pw', own=2)}) AS wd FROM ({_COMMON})"
 
 
 @query(f"SELECT role, count(*) AS samples, round(sum(cd) / sum(greatest(rc, 1)), 9) AS cer, avg(CAST(exact AS DOUBLE)) AS exact_match FROM ({_DIST}) GROUP BY role")
 def agg09_cer_corpus(spark, sf_dir):
-    d = metrics.with_distances(ascii_pairs(spark, sf_dir))
+    d = metrics.with_distances(pairs(spark, sf_dir))
     return metrics.corpus_metrics(d, "role").select("role", "samples", F.round("cer", 9).alias("cer"), "exact_match")
 
 
 @query(f"SELECT role, count(*) FILTER (trim(reference) <> '') AS samples, round(coalesce(sum(cd) FILTER (trim(reference) <> '') / nullif(sum(rc) FILTER (trim(reference) <> ''), 0), 0), 9) AS cer FROM ({_DIST}) GROUP BY role")
 def agg10_cer_nonblank(spark, sf_dir):
-    d = metrics.with_distances(ascii_pairs(spark, sf_dir))
+    d = metrics.with_distances(pairs(spark, sf_dir))
     return metrics.nonblank_metrics(d, "role").select("role", "samples", F.round("cer", 9).alias("cer"))
 
 
 @query(f"SELECT conv_id, turn, cd AS char_distance, round(CASE WHEN rc > 0 THEN cd / rc WHEN cd > 0 THEN 1.0 ELSE 0.0 END, 9) AS cer, NOT exact AND regexp_replace(reference, '\\s+', '', 'g') = regexp_replace(prediction, '\\s+', '', 'g') AS spacing_only FROM ({_DIST})")
 def str15_pair_evaluation(spark, sf_dir):
-    d = metrics.with_distances(ascii_pairs(spark, sf_dir))
+    d = metrics.with_distances(pairs(spark, sf_dir))
     return d.select("conv_id", "turn", "char_distance", F.round(metrics.row_rate(F.col("char_distance"), F.col("ref_chars")), 9).alias("cer"), "spacing_only")
 
 
-@query()
+@query(f"SELECT role, count(*) AS samples, round(sum(cd) / sum(greatest(rc, 1)), 9) AS cer, round(sum(wd) / sum(greatest(len(rw), 1)), 9) AS wer, avg(CAST(exact AS DOUBLE)) AS exact_match FROM ({_WORD_DIST}) GROUP BY role")
 def agg10_wer_corpus(spark, sf_dir):
-    """Word error rates by role; tested against a reference implementation."""
-    return metrics.corpus_metrics(metrics.with_distances(pairs(spark, sf_dir)), "role")
+    """Character and word error rates by role."""
+    d = metrics.corpus_metrics(metrics.with_distances(pairs(spark, sf_dir)), "role")
+    return d.select("role", "samples", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"), "exact_match")
 
 
 @query()
@@ -69,7 +73,7 @@ def srt02_top_confusions(spark, sf_dir):
 
 @query(f"SELECT conv_id, turn, cd AS char_distance FROM ({_DIST}) ORDER BY cd DESC, conv_id, turn LIMIT 25")
 def srt03_worst_examples(spark, sf_dir):
-    d = ascii_pairs(spark, sf_dir).withColumn("char_distance", metrics.char_distance(F.col("reference"), F.col("prediction")))
+    d = pairs(spark, sf_dir).withColumn("char_distance", metrics.char_distance(F.col("reference"), F.col("prediction")))
     return ranking.top_k(d, 25, F.desc("char_distance"), F.col("conv_id"), F.col("turn")).select("conv_id", "turn", "char_distance")
 
 
@@ -172,7 +176,12 @@ def udf04_beam_search(spark, sf_dir):
     return decoding.beam_search(rows, "conv_id", "frames", beam=5)
 
 
-@query("SELECT doc_id, text AS visual FROM documents")
+#: Logical texts and what is seen: Hebrew and Arabic runs turn, numbers in them don't, brackets mirror.
+_VISUAL = [("plain words (1)", "plain words (1)"), ("\u05d0\u05d1\u05d2", "\u05d2\u05d1\u05d0"), ("abc \u05d0\u05d1 def", "abc \u05d1\u05d0 def"), ("\u05d0\u05d1 12 \u05d2", "\u05d2 12 \u05d1\u05d0"), ("(\u05d0\u05d1)", "(\u05d1\u05d0)"), ("\u0633\u0644\u0627\u0645", "\u0645\u0627\u0644\u0633"), ("x = \u05d0 + \u05d1;", "x = \u05d1 + \u05d0;")]
+
+
+@query("SELECT doc_id, CASE doc_id % {n} {cases} END AS visual FROM documents".format(n=len(_VISUAL), cases=" ".join(f"WHEN {i} THEN '{seen}'" for i, (_, seen) in enumerate(_VISUAL))))
 def str06_visual_order(spark, sf_dir):
-    """Left-to-right texts keep their order."""
-    return table(spark, sf_dir, "documents").select("doc_id", bidi.visual(F.col("text")).alias("visual"))
+    """Each document's number picks a logical text; right-to-left runs turn."""
+    logical = F.element_at(F.array(*(F.lit(t) for t, _ in _VISUAL)), (F.col("doc_id") % len(_VISUAL) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", bidi.visual(logical).alias("visual"))
