@@ -153,3 +153,10 @@ def collapse_runs(indices: Column, blank: int = 0) -> Column:
 def encode(text: Column, vocabulary: Column) -> Column:
     """Indices of a text's characters by a map; a character that isn't there raises."""
     return F.transform(chars(text), lambda c: F.coalesce(F.element_at(vocabulary, c), F.raise_error(F.concat(F.lit("unknown character "), codepoint_label(c))).cast("int")))
+
+
+def page_and_word(c: Column) -> Column:
+    """A struct of an id "page_word" (two runs of digits): ``page_id``, ``word_index``, and ``error`` for any other text."""
+    fits = F.coalesce(F.rlike(c, F.lit("^[0-9]+_[0-9]+$")), F.lit(False))
+    part = lambda i: F.when(fits, F.split_part(c, F.lit("_"), F.lit(i)).cast("bigint"))
+    return F.struct(part(1).alias("page_id"), part(2).alias("word_index"), F.when(~fits, F.concat(F.lit("not a page and word: "), F.coalesce(c, F.lit("")))).alias("error"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,18 +74,35 @@ def plain_metrics(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def by_dimensions(df: DataFrame, dimensions: list[str], aggregates: dict[str, str]) -> DataFrame:
-    """The same aggregates overall and by each dimension, in one pass of GROUPING SETS.
+    """``dimension, value`` and aggregates (SQL expressions) for each dimension by itself and overall, in one pass."""
+    of = lambda cases, rest: reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])).otherwise(rest) if cases else rest
+    used = lambda d: F.grouping(d) == 0
+    sets = df.groupingSets([[d] for d in dimensions] + [[]], *dimensions)
+    out = sets.agg(
+        of([(used(d), F.lit(d)) for d in dimensions], F.lit("overall")).alias("dimension"),
+        of([(used(d), F.col(d).cast("string")) for d in dimensions], F.lit(None).cast("string")).alias("value"),
+        *(F.expr(e).alias(n) for n, e in aggregates.items()),
+    )
+    return out.select("dimension", "value", *aggregates)
+
+
+def compression_metrics(df: DataFrame, dimensions: list[str], width: str, steps: str, length: str) -> DataFrame:
+    """Widths against the frames that a model makes of them, by each dimension and overall.
 
-    ``dimension`` names the column ("overall" for all rows) and ``value`` its value.
+    ``width`` of an image, ``steps`` that it is reduced to, ``length`` of its label:
+    mean and median widths, steps per character, and how many rows have fewer steps
+    than characters, or a width that is missing. Ratios over nothing are null.
     """
-    view = "_by_dimensions"
-    df.createOrReplaceTempView(view)
-    names = ", ".join(f"`{d}`" for d in dimensions)
-    sets = ", ".join(["()", *(f"(`{d}`)" for d in dimensions)])
-    case = " ".join(f"WHEN grouping(`{d}`) = 0 THEN '{d}'" for d in dimensions)
-    value = " ".join(f"WHEN grouping(`{d}`) = 0 THEN CAST(`{d}` AS STRING)" for d in dimensions)
-    aggs = ", ".join(f"{e} AS `{n}`" for n, e in aggregates.items())
-    return df.sparkSession.sql(f"SELECT CASE {case} ELSE 'overall' END AS dimension, CASE {value} END AS value, {aggs} FROM {view} GROUP BY {names} GROUPING SETS ({sets})")
+    ratio = f"{steps} / nullif({length}, 0)"
+    return by_dimensions(df, dimensions, {
+        "samples": "count(*)",
+        "mean_width": f"avg({width})",
+        "median_width": f"median({width})",
+        "mean_steps_per_char": f"avg({ratio})",
+        "median_steps_per_char": f"median({ratio})",
+        "too_short": f"count_if({steps} < {length})",
+        "no_width": f"count_if({width} IS NULL)",
+    })
 
 
 def align(ref: list[str], pred: list[str]) -> list[tuple[str, str, str]]:

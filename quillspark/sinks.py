@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,3 +49,34 @@ def packed(df: DataFrame, content: str, ext: str = ".png") -> DataFrame:
     """One row for each distinct content with its address images/ab/<sha256>.ext."""
     h = F.sha2(F.col(content), 256)
     return df.withColumn("sha256", h).dropDuplicates(["sha256"]).withColumn("packed", F.concat(F.lit("images/"), F.substring("sha256", 1, 2), F.lit("/"), "sha256", F.lit(ext)))
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Write Parquet beside ``path`` and put it in its place when it is whole, so that readers see the old rows or the new.
+
+    Between the two renames there is no folder for a moment; a failed write leaves the old one.
+    """
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.parquet(f"{aside}.new")
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(of(path))
+    if had and not fs.rename(of(path), of(f"{aside}.old")):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(of(f"{aside}.new"), of(path)):
+        if had:
+            fs.rename(of(f"{aside}.old"), of(path))
+        raise OSError(f"{aside}.new can't be moved to {path}")
+    if had:
+        fs.delete(of(f"{aside}.old"), True)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new name in the folder that driver and executors share; only a local session may go without one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="quillspark-")
+    return f"{shared}/quillspark-{uuid.uuid4().hex}"

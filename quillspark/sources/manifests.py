@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import strings
@@ -21,6 +21,16 @@ def read_manifest(spark: SparkSession, path, columns: list[str] | None = None) -
     return d.withColumnRenamed(first, first.lstrip("﻿")).na.fill("")
 
 
+def with_row_number(df: DataFrame, name: str = "row", file: str = "file") -> DataFrame:
+    """Add the row's ordinal in its manifest file and the file: the header is row 1, data begins with 2.
+
+    ``df`` is what ``read_manifest`` gives. A manifest with line breaks in values is
+    read by one task as a whole, so its rows are numbered in one.
+    """
+    d = df.withColumns({file: F.input_file_name(), "_at": F.monotonically_increasing_id()})
+    return d.withColumn(name, F.row_number().over(Window.partitionBy(file).orderBy("_at")) + 1).drop("_at")
+
+
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Columns cast where their text allows, else null."""
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
@@ -114,3 +124,16 @@ def resolve_paths(rows: DataFrame, files: DataFrame, image: str = "image", path:
     hit = hit.groupBy("_want").agg(F.min_by("_path", F.struct(F.col("_have") != F.col("_want"), "_path")).alias("_hit"))
     out = r.join(hit, "_want", "left").join(per_base, "_base", "left")
     return out.withColumn("resolved", F.coalesce("_hit", F.when(F.col("_n") == 1, F.col("_only")))).drop("_want", "_base", "_hit", "_n", "_only")
+
+
+def first_existing(rows: DataFrame, candidates: list[str], files: DataFrame, path: str = "path") -> DataFrame:
+    """Add ``found``: the first of the ``candidates`` columns whose path is among ``files``; null if none is.
+
+    One join for each candidate with the distinct paths; an equi-join, so neither side is gathered.
+    """
+    known = files.select(F.col(path).alias("_path")).distinct()
+    out, hits = rows, []
+    for i, c in enumerate(candidates):
+        out = out.join(known.withColumnRenamed("_path", f"_path{i}"), F.col(c) == F.col(f"_path{i}"), "left")
+        hits.append(f"_path{i}")
+    return out.withColumn("found", F.coalesce(*hits)).drop(*hits)
