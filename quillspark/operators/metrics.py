@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,16 +17,21 @@ def char_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
+#: Distinct words of a pair: the private-use characters of planes 15 and 16.
+MAX_WORDS = 131_000
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Levenshtein over words: a private-use character stands for each distinct word of the pair.
 
-    Covers pairs of up to 131,000 distinct words.
+    A pair of more than MAX_WORDS distinct words is an error.
     """
     ta, tb = tokens(a), tokens(b)
     words = F.array_distinct(F.concat(ta, tb))
     # code points of planes 15 and 16, by UTF-8 arithmetic on the word's place
     sign = lambda w: _private(F.array_position(words, w))
-    return F.levenshtein(F.array_join(F.transform(ta, sign), ""), F.array_join(F.transform(tb, sign), ""))
+    distance = F.levenshtein(F.array_join(F.transform(ta, sign), ""), F.array_join(F.transform(tb, sign), ""))
+    return F.when(F.size(words) > MAX_WORDS, F.raise_error(F.lit(f"a pair has more than {MAX_WORDS} distinct words")).cast("int")).otherwise(distance)
 
 
 def _private(n: Column) -> Column:
@@ -105,21 +111,45 @@ def compression_metrics(df: DataFrame, dimensions: list[str], width: str, steps:
     })
 
 
+def _next_costs(up: np.ndarray, token: int, pred: np.ndarray) -> np.ndarray:
+    """The row of edit costs below ``up``: its insertions are a running minimum along the row."""
+    best = np.concatenate([[up[0] + 1], np.minimum(up[:-1] + (pred != token), up[1:] + 1)])
+    at = np.arange(len(best))
+    return np.minimum.accumulate(best - at) + at
+
+
 def align(ref: list[str], pred: list[str]) -> list[tuple[str, str, str]]:
-    """An optimal alignment as (op, ref, pred); at ties the diagonal comes first, then deletion, then insertion."""
-    n, m = len(ref), len(pred)
-    cost = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        up, row = cost[-1], [i]
-        for j in range(1, m + 1):
-            row.append(min(up[j - 1] + (ref[i - 1] != pred[j - 1]), up[j] + 1, row[j - 1] + 1))
-        cost.append(row)
-    out, i, j = [], n, m
+    """An optimal alignment as (op, ref, pred); at ties the diagonal comes first, then deletion, then insertion.
+
+    Every b-th row of costs is kept, b the root of their number, and those between
+    are made again on the way back: memory grows by the root of the rows.
+    """
+    number: dict[str, int] = {}
+    r, p = (np.array([number.setdefault(t, len(number)) for t in x], np.int64) for x in (ref, pred))
+    i, j = len(ref), len(pred)
+    out = []
+    while i and j and r[i - 1] == p[j - 1]:  # equal ends are on the diagonal
+        i, j = i - 1, j - 1
+        out.append(("equal", ref[i], pred[j]))
+    p = p[:j]
+    step = max(1, int(i**0.5))
+    kept, row = [np.arange(j + 1)], np.arange(j + 1)
+    for k in range(i):
+        row = _next_costs(row, r[k], p)
+        if (k + 1) % step == 0:
+            kept.append(row)
+    first, cost = i + 1, []  # cost[x] is row first + x
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (ref[i - 1] != pred[j - 1]):
+        if i and i - 1 < first:
+            first = (i - 1) // step * step
+            cost = [kept[first // step]]
+            for k in range(first, i):
+                cost.append(_next_costs(cost[-1], r[k], p))
+        here = cost[i - first][j] if cost else j
+        if i and j and here == cost[i - first - 1][j - 1] + (r[i - 1] != p[j - 1]):
             i, j = i - 1, j - 1
-            out.append(("equal" if ref[i] == pred[j] else "substitute", ref[i], pred[j]))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            out.append(("equal" if r[i] == p[j] else "substitute", ref[i], pred[j]))
+        elif i and here == cost[i - first - 1][j] + 1:
             i -= 1
             out.append(("delete", ref[i], ""))
         else:

@@ -58,12 +58,16 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, quotas: DataFrame,
 
     Row r of a stratum of n is taken quota div n times, once more if r <= quota mod n.
     """
-    n = df.groupBy(stratum).agg(F.count("*").alias("_n")).join(quotas, stratum)
-    d = df.join(F.broadcast(n), stratum).withColumn("_h", seeded_order(F.col(key), seed))
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)))
+    d = df.withColumn("_h", seeded_order(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, 4))
+    # Ranks within ranges of the hash, of which a stratum has 65,536 at most: no task sorts a whole stratum.
+    counts = d.groupBy(stratum, "_p").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(stratum).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(stratum))).drop("_c")
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(stratum, "_p").orderBy("_h", key)))
+    d = d.join(counts.join(quotas, stratum), [stratum, "_p"]).withColumn("_r", F.col("_r") + F.col("_before"))
     times = F.floor(F.col("quota") / F.col("_n")) + F.when(F.col("_r") <= F.col("quota") % F.col("_n"), 1).otherwise(0)
     d = d.withColumn("_t", times).where("_t > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_t").cast("int"))))
-    return d.drop("_n", "quota", "_h", "_r", "_t")
+    return d.drop("_n", "quota", "_h", "_r", "_t", "_p", "_before")
 
 
 def balanced_first(df: DataFrame, group: str, order: list[Column], total: int, groups: int) -> DataFrame:

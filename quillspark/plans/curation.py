@@ -37,14 +37,14 @@ def win02_leakage_resolution(spark, sf_dir):
 
 
 @query(f"""
-WITH m AS (SELECT *, sha256(lower(substr(text, 1, 12))) AS k FROM ({_MANIFEST})), p AS (SELECT *, CASE split WHEN 'test' THEN 2 WHEN 'val' THEN 1 ELSE 0 END AS prio, {_SCORE} AS score FROM m),
+WITH m AS (SELECT *, sha256(language || ':' || length(text)) AS k FROM ({_MANIFEST})), p AS (SELECT *, CASE split WHEN 'test' THEN 2 WHEN 'val' THEN 1 ELSE 0 END AS prio, {_SCORE} AS score FROM m),
 g AS (SELECT *, max(prio) OVER (PARTITION BY k) AS top, min(prio) OVER (PARTITION BY k) AS low, min(text) OVER (PARTITION BY k) <> max(text) OVER (PARTITION BY k) AS texts,
  row_number() OVER (PARTITION BY k ORDER BY prio DESC, score DESC, dataset, image, source_row) AS rn FROM p),
 r AS (SELECT split, CASE WHEN texts AND low < top THEN 'cross_split_conflicting_labels' WHEN texts THEN 'same_split_conflicting_labels' WHEN rn = 1 THEN '' WHEN prio < top THEN 'lower_priority_split_removed' ELSE 'same_split_exact_duplicate_removed' END AS reason FROM g)
 SELECT split, reason, count(*) AS n FROM r GROUP BY ALL""")
 def win03_conflicting_groups(spark, sf_dir):
-    """Groups by the start of the text, so that texts within a group conflict."""
-    m = manifest(spark, sf_dir).withColumn("sha256", F.sha2(F.lower(F.substring("text", 1, 12)), 256))
+    """Groups by language and length, so that whole texts within a group conflict."""
+    m = manifest(spark, sf_dir).withColumn("sha256", F.sha2(F.concat_ws(":", "language", F.length("text")), 256))
     return dedup.leakage_resolution(m).groupBy("split", "reason").agg(F.count("*").alias("n"))
 
 

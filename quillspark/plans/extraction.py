@@ -34,12 +34,11 @@ def src10_json_props(spark, sf_dir):
     return e.groupBy("event_type", F.col("p.k").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("WITH l AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) SELECT a.conv_id, CAST(b.r - 2 AS INTEGER) AS row_no, CAST(c.i - 1 AS INTEGER) AS col_no, a.text AS header, string_split(b.text, ' ')[c.i] AS value FROM l a JOIN l b ON a.conv_id = b.conv_id AND a.r = 1 AND b.r > 1, (VALUES (1)) c(i)")
+@query("WITH l AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) SELECT a.conv_id, CAST(b.r - 2 AS INTEGER) AS row_no, CAST(c.i - 1 AS INTEGER) AS col_no, a.text AS header, b.text AS value FROM l a JOIN l b ON a.conv_id = b.conv_id AND a.r = 1 AND b.r > 1, (VALUES (1)) c(i)")
 def prj08_flatten_tables(spark, sf_dir):
-    """Conversations as tables of one column: the first turn is the header, a cell is a turn's first word."""
-    c = table(spark, sf_dir, "conversations").withColumn("cell", F.split("text", " ")[0])
-    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "cell"))).alias("t"))
-    grid = F.transform("t", lambda x, i: F.array(F.when(i == 0, x["text"]).otherwise(x["cell"])))
+    """Conversations as tables of one column: the first turn is the header, the others are cells."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    grid = F.transform("t", lambda x: F.array(x["text"]))
     docs = rows.select("conv_id", F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("table_index"), grid.alias("rows"))).alias("tables"))
     return D.flatten_tables(docs, "conv_id").select("conv_id", "row_no", "col_no", "header", "value")
 

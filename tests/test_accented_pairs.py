@@ -48,3 +48,38 @@ def test_edits(spark, folder):
     for r in registry.QUERIES["agg11_edit_breakdown"](spark, folder).collect():
         n = Counter(e[1] for e in edits if e[0] == r.role)
         assert (r.substitutions, r.deletions, r.insertions) == (n["substitute"], n["delete"], n["insert"])
+
+
+def plain_align(ref, pred):
+    """The whole matrix of costs in plain Python."""
+    n, m = len(ref), len(pred)
+    cost = [list(range(m + 1))]
+    for i in range(1, n + 1):
+        row = [i]
+        for j in range(1, m + 1):
+            row.append(min(cost[-1][j - 1] + (ref[i - 1] != pred[j - 1]), cost[-1][j] + 1, row[j - 1] + 1))
+        cost.append(row)
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (ref[i - 1] != pred[j - 1]):
+            i, j = i - 1, j - 1
+            out.append(("equal" if ref[i] == pred[j] else "substitute", ref[i], pred[j]))
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+            out.append(("delete", ref[i], ""))
+        else:
+            j -= 1
+            out.append(("insert", "", pred[j]))
+    return out[::-1]
+
+
+def test_alignment_is_that_of_the_whole_matrix():
+    import random
+
+    rng = random.Random(0)
+    for size in [0, 1, 2, 3, 5, 9, 30, 70]:
+        for _ in range(25):
+            a, b = (rng.choices("abcd", k=rng.randint(0, size)) for _ in range(2))
+            if rng.random() < 0.5:
+                b = [x for x in a if rng.random() < 0.8]
+            assert metrics.align(a, b) == plain_align(a, b)
