@@ -151,3 +151,20 @@ def test_sizes_and_targets_of_the_query(spark, documents):
     for r in mixing.mixed_counts(documents).collect():
         d = of[r.doc_id]
         assert r.size == len(re.findall("[^\x20\x09-\x0D]+", d.text or "")) and r.source_size == size[d.source] and r.target == pytest.approx(want[d.source])
+
+
+def test_query_of_shards_matches_brute_force(spark, documents):
+    """Sizes and checksums of every row, and the law `rows`: counts at most one apart, slots gapless."""
+    import zlib
+
+    from quillspark.llm import queries
+
+    from .conftest import SF
+
+    texts = {r.doc_id: (r.text or "").encode() for r in documents.collect()}
+    got = queries.op8_shards(spark, SF).collect()
+    assert {r.doc_id for r in got} == set(texts) and len(got) == documents.count()
+    assert all((r["size"], r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]), "rows", None) for r in got)
+    held = Counter(r.shard for r in got)
+    assert set(held) == set(range(16)) and max(held.values()) - min(held.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in got) == sorted((s, i) for s, n in held.items() for i in range(n))
