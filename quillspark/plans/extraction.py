@@ -65,7 +65,9 @@ def snk15_json_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "source")).alias("j"))
 
 
-@query()
+@query("""
+SELECT conv_id, 'parsed' AS status, CAST(count(*) AS INTEGER) AS n_segments, CAST(to_json(list({'record_id': CAST(10000 + turn AS VARCHAR), 'text': t} ORDER BY turn, text)) AS VARCHAR) AS segments_json
+FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) GROUP BY conv_id""")
 def str07_segment_records(spark, sf_dir):
     """Numbered transcriptions of conversations, parsed back into records."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))

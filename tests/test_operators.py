@@ -180,13 +180,33 @@ def test_vocabulary(spark):
 
 
 def test_segments(spark):
-    rows = [(1, "70691 First one. 70692  Second  in 1979 ."), (2, "no ids here"), (3, "before 12345 after"), (4, None), (5, "36 She was tall. 70692 Next")]
+    rows = [(1, "70691 First one. 70692  Second  in 1979 ."), (2, "no ids here"), (3, "before 12345 after"), (4, None), (5, "36 She was tall. 70692 Next"), (6, "12345 1234567 "), (7, "12345 one 123456789 two 54321")]
     d = spark.createDataFrame(rows, "id int, raw string")
-    got = {r.id: (r.status, [(s.record_id, s.text) for s in r.segments]) for r in segments.parse_records(d, "raw").collect()}
-    assert got[1] == ("ok", [("70691", "First one."), ("70692", "Second in 1979 .")])
-    assert got[2][0] == "no_ids" and got[3] == ("prefix_text", [("12345", "after")]) and got[4][0] == "no_ids"
-    fixed = {r.id: (r.status, [(s.record_id, s.text) for s in r.segments]) for r in segments.repair_records(d, "raw").collect()}
-    assert fixed[5] == ("ok", [("36", "She was tall."), ("70692", "Next")])
+    of = lambda d: {r.id: (r.status, [(s.record_id, s.text) for s in r.segments]) for r in d.collect()}
+    assert of(segments.parse_records(d, "raw")) == {
+        1: ("parsed", [("70691", "First one."), ("70692", "Second in 1979 .")]),
+        2: ("no_record_ids", [("", "no ids here")]),
+        3: ("text_before_first_id", [("", "before 12345 after")]),
+        4: ("no_record_ids", []),
+        5: ("text_before_first_id", [("", "36 She was tall. 70692 Next")]),
+        6: ("parsed", [("12345", "1234567")]),
+        7: ("parsed", [("12345", "one 123456789 two 54321")]),
+    }
+
+
+def test_repaired_segments(spark):
+    rows = [(1, "70691 First. 1979  Second 70692 Third"), (2, "36 She was tall. 70692 \u201cNext\u201d 70693 (Last)"), (3, "7 Alone"), (4, None), (5, "Before: 12345 After"), (6, "123 12345 After"), (7, "12345 after. 1234 Then")]
+    d = segments.repair_records(spark.createDataFrame(rows, "id int, raw string"), "raw")
+    got = {r.id: (r.status, [(s.record_id, s.text) for s in r.segments], r.residual_boundary_id, r.starts_with_number, r.needs_review) for r in d.collect()}
+    assert got == {
+        1: ("record_ids_removed", [("70691", "First."), ("1979", "Second 70692 Third")], False, False, False),
+        2: ("leading_short_id_removed+record_ids_removed", [("36", "She was tall."), ("70692", "\u201cNext\u201d"), ("70693", "(Last)")], False, False, False),
+        3: ("short_leading_id_removed", [("7", "Alone")], False, False, False),
+        4: ("no_ids_found", [("", "")], False, False, True),
+        5: ("unnumbered_prefix_preserved+record_ids_removed", [("", "Before:"), ("12345", "After")], False, False, False),
+        6: ("no_ids_found", [("", "123 12345 After")], False, True, True),
+        7: ("unnumbered_prefix_preserved+record_ids_removed", [("", "12345 after."), ("1234", "Then")], False, True, True),
+    }
 
 
 def test_running_best(spark):
