@@ -84,5 +84,15 @@ def bucket_batches(df: DataFrame, size: str, batch: int, key: str) -> DataFrame:
     return d.withColumn("batch_id", F.floor((F.col("_rank") - 1) / batch)).drop("_rank", "n_rows")
 
 
+def padded(df: DataFrame, batch: str, values: str, pad: int = 0) -> DataFrame:
+    """Arrays filled up with ``pad`` to the longest of their batch, and ``length``, what they had; a null array counts as empty.
+
+    A batch is what one step takes, so its window is small.
+    """
+    d = df.withColumn(values, F.coalesce(F.col(values), F.array().cast(df.schema[values].dataType))).withColumn("length", F.size(values))
+    longest = F.max("length").over(Window.partitionBy(batch))
+    return d.withColumn("_longest", longest).withColumn(values, F.concat(F.col(values), F.array_repeat(F.lit(pad), F.col("_longest") - F.col("length")))).drop("_longest")
+
+
 def hash_bucket(key: Column, n: int) -> Column:
     return hex_int(F.substring(F.sha1(key), 1, 8)) % n

@@ -57,17 +57,17 @@ def jon09_vocabulary_diff(spark, sf_dir):
 
 _P = f"repeat('{ngrams.BOS}', 2) || text || '{ngrams.EOS}'"
 _POS = f"SELECT item_id, s, unnest(range(3, length(s) + 1)) AS p FROM (SELECT item_id, {_P} AS s FROM benchmark)"
-_COUNTS = f"SELECT g, ctx, tok, count(*) AS n FROM (SELECT item_id % 2 AS g, right(substr(s, p - 2, 2), CAST(l AS INTEGER)) AS ctx, substr(s, p, 1) AS tok FROM ({_POS}), (VALUES (0), (1), (2)) v(l)) GROUP BY ALL"
+COUNTS = f"SELECT g, ctx, tok, count(*) AS n FROM (SELECT item_id % 2 AS g, right(substr(s, p - 2, 2), CAST(l AS INTEGER)) AS ctx, substr(s, p, 1) AS tok FROM ({_POS}), (VALUES (0), (1), (2)) v(l)) GROUP BY ALL"
 
 
-@query(_COUNTS)
+@query(COUNTS)
 def agg18_ngram_counts(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").withColumn("g", F.col("item_id") % 2)
     return ngrams.fit(b, "g", 3)
 
 
 @query(f"""
-WITH c AS ({_COUNTS}), t AS (SELECT g, ctx, sum(n) AS total FROM c GROUP BY ALL), v AS (SELECT g, count(*) AS v FROM c WHERE ctx = '' GROUP BY g),
+WITH c AS ({COUNTS}), t AS (SELECT g, ctx, sum(n) AS total FROM c GROUP BY ALL), v AS (SELECT g, count(*) AS v FROM c WHERE ctx = '' GROUP BY g),
 x AS (SELECT 1 - item_id % 2 AS g, item_id, p, substr(s, p - 2, 2) AS full_ctx, substr(s, p, 1) AS tok FROM ({_POS})),
 b AS (SELECT x.*, t.ctx, t.total, row_number() OVER (PARTITION BY item_id, p ORDER BY length(t.ctx) DESC) AS r FROM x JOIN t ON t.g = x.g AND (t.ctx = x.full_ctx OR t.ctx = right(x.full_ctx, 1) OR t.ctx = ''))
 SELECT b.g, item_id, round(sum(ln((coalesce(c.n, 0) + 0.1) / (total + 0.1 * v.v))), 5) AS log_prob FROM b JOIN v ON v.g = b.g LEFT JOIN c ON c.g = b.g AND c.ctx = b.ctx AND c.tok = b.tok WHERE r = 1 GROUP BY b.g, item_id""")

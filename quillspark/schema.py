@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: Columns of manifests as they are written, in order (fixed values).
@@ -39,3 +40,11 @@ def find_column(df: DataFrame, candidates: Iterable[str]) -> str | None:
 def restore_order(df: DataFrame, original: Iterable[str]) -> DataFrame:
     """Drop helper columns: only the original ones, in their order."""
     return df.select(*original)
+
+
+def with_provenance(df: DataFrame, **constants: str) -> DataFrame:
+    """Add constant columns and ``source_manifest``, the path of the file that a row comes from.
+
+    ``df`` must be a scan: rows of a table that was computed have no file.
+    """
+    return df.withColumns({"source_manifest": F.col("_metadata.file_path"), **{k: F.lit(v) for k, v in constants.items()}})

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import io
 import re
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str, fields: list[str], mode: str = "errorifexists") -> None:
-    """CSV with these columns in this order; others are left out, missing ones are empty."""
+def write_csv(df: DataFrame, path: str, fields: list[str], mode: str = "errorifexists", mark: bool = False) -> None:
+    """CSV with these columns in this order; others are left out, missing ones are empty.
+
+    ``mark`` puts a byte order mark before the header, for spreadsheet programs.
+    """
     out = df.select(*(F.col(c) if c in df.columns else F.lit("").alias(c) for c in fields))
+    if mark:
+        out = out.withColumnRenamed(fields[0], f"\ufeff{fields[0]}")
     out.write.mode(mode).options(header=True, escape='"').csv(path)
 
 
@@ -51,6 +59,22 @@ def packed(df: DataFrame, content: str, ext: str = ".png") -> DataFrame:
     return df.withColumn("sha256", h).dropDuplicates(["sha256"]).withColumn("packed", F.concat(F.lit("images/"), F.substring("sha256", 1, 2), F.lit("/"), "sha256", F.lit(ext)))
 
 
+def _zip(members: pa.Array) -> pa.Array:
+    out = []
+    for row in members:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for m in row.as_py() or []:
+                z.writestr(zipfile.ZipInfo(m["name"]), m["content"] or b"", zipfile.ZIP_DEFLATED)
+        out.append(data.getvalue() if row.is_valid else None)
+    return pa.array(out, pa.binary())
+
+
+def zipped(members: Column) -> Column:
+    """ZIP files of arrays of (name, content), the same bytes on every run; null for null. An archive is one value, so it must fit a task."""
+    return F.arrow_udf(_zip, "binary")(members)
+
+
 def replace(df: DataFrame, path: str) -> None:
     """Write Parquet beside ``path`` and put it in its place when it is whole, so that readers see the old rows or the new.
 
@@ -74,7 +98,7 @@ def replace(df: DataFrame, path: str) -> None:
 
 def work_folder(spark: SparkSession) -> str:
     """A new name in the folder that driver and executors share; only a local session may go without one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
