@@ -40,7 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only a local session, which has one machine, may go without: it gets a temporary one.
     """
     context = spark.sparkContext
-    if shared := context.getConf().get("spark.checkpoint.dir", None):
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
         return shared
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not re.fullmatch(r"local(\[.*\])?", context.master):

@@ -130,14 +130,19 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(df[-1]), df[:-1]
 
 
+def chosen(fold: DataFrame, max_labelled: int) -> DataFrame:
+    """The ``max_labelled`` rows of the least hashes of ids, those of one id by a hash of the row; rows without an id are out."""
+    # ids first, so that only their rows' texts are moved; an id of very many rows is cut at the bound too
+    ids = fold.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    return fold.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("lang", "text"), "lang", "text").limit(max_labelled)
+
+
 def fit_from(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on text and lang of the training fold; null langs and texts aren't learned from."""
     fold = docs.where(crc_fold() != 0).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     n, df = document_frequencies(fold)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # ids first, so that only the chosen rows' texts are moved
-    ids = fold.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    got = fold.join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "lang", "text"], kind="stable")
+    got = chosen(fold, max_labelled).toPandas().sort_values(["doc_id", "lang", "text"], kind="stable")
     got = got[[has_letter(t) for t in got["text"]]] if len(got) else got
     langs = sorted(set(got["lang"]))
     if not langs:

@@ -170,12 +170,18 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
     return model
 
 
+def chosen(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``doc_id, text, toxic`` of at most ``max_labelled`` rows: those of the training fold's labels with the least hash, rows of one id by a hash of the text."""
+    fold = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    fold = fold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    # at most max_labelled rows of two numbers; an id of very many rows is cut at the bound too
+    got = docs.select("doc_id", "text").join(F.broadcast(fold), "doc_id")
+    return got.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(max_labelled)
+
+
 def fit_from(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labels of the training fold (crc32 of the id modulo 5 is not 0), at most MAX_LABELLED of them."""
-    chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    # at most MAX_LABELLED rows of two numbers
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    got = chosen(docs, labels).toPandas().sort_values(["doc_id", "text"], kind="stable")
     return fit(list(got["text"]), got["toxic"].to_numpy() == 1)
 
 

@@ -79,3 +79,100 @@ def test_letters():
     assert not any(language.has_letter(t) for t in ("½ ² ① 3", "", "12 !?", "१२", "_")) and all(language.has_letter(t) for t in ("1 a", "½é", "ß", "你", "ªb"))
     model = language.Model(["en"], np.ones(language.FEATURES), np.zeros((language.FEATURES, 1)), 1.0)
     assert model.predict("½ ²") == ("und", 0.0)
+
+
+def test_fits_take_a_bounded_number_of_rows(spark):
+    """An id may have very many rows: the bound counts rows."""
+    ids = [i for i in range(40) if not held_out(i)][:6]
+    docs = spark.createDataFrame([(ids[0], f"text {i}", "en") for i in range(50)] + [(i, "autre texte", "fr") for i in ids], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 0, None) for i in ids], "doc_id bigint, toxic int, quality double")
+    assert language.chosen(docs, 5).count() == 5 and language.chosen(docs, 1000).count() == 56
+    assert toxicity.chosen(docs, labels, 5).count() == 5 and toxicity.chosen(docs, labels).count() == 56
+    one_each = docs.where("lang = 'fr'")
+    least = {r.doc_id for r in one_each.orderBy(F.xxhash64("doc_id")).limit(3).collect()}
+    assert {r.doc_id for r in language.chosen(one_each, 3).collect()} == {r.doc_id for r in toxicity.chosen(one_each, labels, 3).collect()} == least
+
+
+def test_toxicity_scores_match_brute_force(spark, documents, corner_docs):
+    """The worst segment: its distinct words' mean n-gram scores over the places of a segment."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS), -1.5)
+
+    def plain(text):
+        words = (text or "").lower().split()
+        if not words:
+            return 0.0
+        k = -(-len(words) // 8)
+        best = None
+        for s in range(k):
+            total = 0.0
+            for w in set(words[s * len(words) // k : (s + 1) * len(words) // k]):
+                w = "<" + w.strip(".,;:!?()[]\"\u2019\u2018«»*_-'") + ">"
+                parts = {w}
+                for n in (3, 4, 5):
+                    parts |= {w[i : i + n] for i in range(len(w) - n + 1)}
+                total += sum(float(model.gram_scores[zlib.crc32(p.encode()) % toxicity.BUCKETS]) for p in parts) / len(parts)
+            best = total / 8 if best is None else max(best, total / 8)
+        return 1 / (1 + np.exp(-(best - 1.5)))
+
+    docs = documents.select("doc_id", "text").union(corner_docs.select("doc_id", "text"))
+    texts = sorted((r.doc_id is not None, r.doc_id or 0, round(plain(r.text), 4)) for r in docs.collect())
+    got = sorted((r.doc_id is not None, r.doc_id or 0, round(r.score, 4)) for r in toxicity.scored(docs, model).collect())
+    assert [g[:2] for g in got] == [t[:2] for t in texts]
+    assert np.abs(np.array([g[2] for g in got]) - np.array([t[2] for t in texts])).max() <= 2e-4
+
+
+def test_ftrl_matches_plain_coordinates():
+    """Against the update of each coordinate by itself, in plain Python."""
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(30, 6, False)), rng.random(6)) for _ in range(60)]
+    y, k = rng.integers(0, 3, 60), 3
+    z, n = {}, {}
+
+    def weight(f, c):
+        zz = z.get((f, c), 0.0)
+        if abs(zz) <= language.L1:
+            return 0.0
+        return -(zz - np.sign(zz) * language.L1) / ((language.BETA + n.get((f, c), 0.0) ** 0.5) / language.ALPHA + language.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(language.EPOCHS):
+        for i in order.permutation(len(rows)):
+            at, x = rows[i]
+            w = {(f, c): weight(f, c) for f in at for c in range(k)}
+            e = np.exp([sum(v * w[f, c] for f, v in zip(at, x)) for c in range(k)])
+            for f, v in zip(at, x):
+                for c in range(k):
+                    g = v * (e[c] / e.sum() - (y[i] == c))
+                    old = n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / language.ALPHA * w[f, c]
+                    n[f, c] = old + g * g
+    got = language.ftrl(rows, y, k)
+    assert np.allclose(got[:30], [[weight(f, c) for c in range(k)] for f in range(30)]) and not got[30:].any()
+
+
+def test_language_features_match_brute_force():
+    """n-grams counted one by one, by the same mixing of code points."""
+    for text in ("", "a", "Ab  b\n a", "émile ß 你好 \U0001f642 É", "the end " * 30):
+        points = [ord(c) for c in " ".join(["", *text.lower().split(), ""])]
+        want = np.zeros(language.FEATURES, np.int64)
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                h = 0
+                for j, p in enumerate(points[i : i + n], 1):
+                    h = (h * 0x9E3779B1 + p + j) % 2**32
+                x = (h ^ (h >> 15)) * 0x85EBCA77 % 2**32
+                want[(x ^ (x >> 13)) % language.FEATURES] += 1
+        assert (language.counts(text) == want).all()
+
+
+def test_toxicity_held_out(spark):
+    """Fitted once on the training fold of the largest table; all labels of the other fold count."""
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_from(docs, labels)
+    truth = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
+    rows = toxicity.scored(docs, model).where("held_out").join(truth, "doc_id").collect()
+    bad = [r.predicted for r in rows if r.toxic == 1]
+    good = [r.predicted for r in rows if r.toxic == 0]
+    assert np.mean(bad) >= 0.6 and np.mean(good) <= 0.02
