@@ -1,11 +1,14 @@
 """Manifests' ordinals, replaced tables, ids and paths in their corners."""
 
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark import sinks
 from quillspark.functions import text as T
-from quillspark.operators import metrics
+from quillspark.operators import metrics, splits
 from quillspark.sources import manifests
 
 
@@ -48,3 +51,17 @@ def test_compression_metrics_of_nothing(spark):
 def test_nfc_only_touches_what_may_change(spark):
     d = spark.createDataFrame([("plain",), ("é",), ("é",), ("Å",), (None,), ("가",)], "t string")
     assert [r[0] for r in d.select(T.nfc(F.col("t"))).collect()] == ["plain", "é", "é", "Å", None, "가"]
+
+
+def test_archives_batches_and_marks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [("a.txt", b"x"), ("b.txt", None)]), (2, []), (3, None)], "id int, m array<struct<name: string, content: binary>>")
+    made = rows.select("id", sinks.zipped(F.col("m")).alias("z"))
+    got = {r.id: r.z for r in made.collect()}
+    assert got[3] is None and got[1] == {r.id: r.z for r in made.collect()}[1]
+    with zipfile.ZipFile(io.BytesIO(got[1])) as z:
+        assert {n: z.read(n) for n in z.namelist()} == {"a.txt": b"x", "b.txt": b""}
+    assert zipfile.ZipFile(io.BytesIO(got[2])).namelist() == []
+    d = spark.createDataFrame([(0, [1, 2]), (0, None), (0, [5, 6, 7]), (1, [9])], "batch int, ids array<int>")
+    assert sorted((r.batch, r.ids, r.length) for r in splits.padded(d, "batch", "ids").collect()) == [(0, [0, 0, 0], 0), (0, [1, 2, 0], 2), (0, [5, 6, 7], 3), (1, [9], 1)]
+    sinks.write_csv(d.select("batch"), str(tmp_path / "c"), ["batch"], mark=True)
+    assert all(p.read_bytes().startswith(b"\xef\xbb\xbfbatch") for p in (tmp_path / "c").glob("*.csv"))
