@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gumbel, htmltext, language, matroska, mixing, partenum, rules, shards, substrings, toxicity
+from . import annular, exponion, gumbel, htmltext, language, matroska, mixing, partenum, rules, shards, substrings, toxicity, vector_sql
 from .common import table
 
 
@@ -63,7 +63,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_html_text, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op6_sentencepiece, op7_toxicity, op8_shards, op9_mixing, op10_language_id)}
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of Lloyd's rounds over all vectors, with every cluster's inertia."""
+    return exponion.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors under codebooks learned in four rounds."""
+    return annular.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_html_text, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op6_sentencepiece, op7_toxicity, op8_shards, op9_mixing, op10_language_id, op11_exponion, op13_annular_codes)}
 
 #: Words with their place, and the sequence of ``n`` words that starts at each.
 _WORDS = "SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)"
@@ -85,4 +95,6 @@ twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k
 gone AS (SELECT words.doc_id, words.p, w, max(CASE WHEN twice.p IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY words.doc_id ORDER BY words.p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS g FROM words LEFT JOIN twice ON twice.doc_id = words.doc_id AND twice.p = words.p),
 kept AS (SELECT doc_id, count(*) AS n, sum(g) AS r, coalesce(string_agg(w, ' ' ORDER BY p) FILTER (g = 0), '') AS t FROM gone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op11_exponion": vector_sql.centroid_sql(),
+    "op13_annular_codes": vector_sql.code_sql(),
 }

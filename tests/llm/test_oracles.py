@@ -11,7 +11,8 @@ from .conftest import SF
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        duck.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = duck.execute(queries.ORACLES[name])
     names = [d[0] for d in want.description]
     got = queries.QUERIES[name](spark, SF).select(*names)
