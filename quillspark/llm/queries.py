@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annular, exponion, gumbel, htmltext, language, matroska, mixing, partenum, rules, shards, substrings, toxicity, vector_sql
+from . import annular, exponion, gumbel, htmltext, language, lmscore, matroska, mixing, partenum, rules, shards, substrings, toxicity, vector_sql
 from .common import table
 
 
@@ -68,12 +68,17 @@ def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op12_gated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log-probability under a recurrent model of the training fold, beside a unigram base."""
+    return lmscore.scored(table(spark, sf_dir, "documents"))
+
+
 def op13_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product codes of all vectors under codebooks learned in four rounds."""
     return annular.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_html_text, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op6_sentencepiece, op7_toxicity, op8_shards, op9_mixing, op10_language_id, op11_exponion, op13_annular_codes)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_html_text, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op6_sentencepiece, op7_toxicity, op8_shards, op9_mixing, op10_language_id, op11_exponion, op12_gated_scores, op13_annular_codes)}
 
 #: Words with their place, and the sequence of ``n`` words that starts at each.
 _WORDS = "SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)"

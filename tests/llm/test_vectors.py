@@ -66,14 +66,14 @@ def test_corner_vectors(spark, corner_vectors):
     assert sorted(r.vec_id if r.vec_id is not None else -1 for r in got) == sorted([*range(60), 7, 7, -1])
     twins = [r[1:] for r in got if r.vec_id in (7, 8)]
     assert len(set(twins)) <= 2 and sum(r.distance for r in got) == got[0].inertia
-    codes = annular.vector_codes(corner_vectors).collect()
+    codes = annular.vector_codes(corner_vectors, entries=4).collect()
     assert len(codes) == 65 and sum(r.code is None for r in codes) == 2  # lengths 63 and 0 keep their rows
     assert all(len(r.code) == 8 for r in codes if r.code)
-    plain, _ = annular.compressed(corner_vectors)
+    plain, _ = annular.compressed(corner_vectors, entries=4)
     sums = {}
     for r in plain.collect():
         sums[r.label] = sums.get(r.label, 0) + (r.error or 0)
-    assert sorted(sums.values()) == sorted({r.label_error for r in codes})
+    assert set(sums.values()) == {r.label_error for r in codes} and sum(sums.values()) > 0
 
 
 def test_empty_and_small_tables(spark, corner_vectors):
