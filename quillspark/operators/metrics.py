@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranges
 from ..functions.text import collapse, remove_spaces, tokens
 
 
@@ -79,8 +80,11 @@ def plain_metrics(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("samples"), rate("char_distance", "ref_chars").alias("cer"), rate("word_distance", "ref_words").alias("wer"), F.count_if("exact").alias("exact"), F.count_if("spacing_only").alias("spacing_only"))
 
 
-def by_dimensions(df: DataFrame, dimensions: list[str], aggregates: dict[str, str]) -> DataFrame:
-    """``dimension, value`` and aggregates (SQL expressions) for each dimension by itself and overall, in one pass."""
+def by_dimensions(df: DataFrame, dimensions: list[str], aggregates: dict[str, str], medians: dict[str, str] | None = None) -> DataFrame:
+    """``dimension, value``, aggregates and exact medians (SQL expressions) for each dimension by itself and overall.
+
+    Aggregates take one pass; each median takes its own, by refinement (``ranges.quantiles``).
+    """
     of = lambda cases, rest: reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])).otherwise(rest) if cases else rest
     used = lambda d: F.grouping(d) == 0
     sets = df.groupingSets([[d] for d in dimensions] + [[]], *dimensions)
@@ -89,7 +93,13 @@ def by_dimensions(df: DataFrame, dimensions: list[str], aggregates: dict[str, st
         of([(used(d), F.col(d).cast("string")) for d in dimensions], F.lit(None).cast("string")).alias("value"),
         *(F.expr(e).alias(n) for n, e in aggregates.items()),
     )
-    return out.select("dimension", "value", *aggregates)
+    out = out.select("dimension", "value", *aggregates)
+    views = [F.struct(F.lit("overall").alias("d"), F.lit(None).cast("string").alias("v")), *(F.struct(F.lit(d).alias("d"), F.col(d).cast("string").alias("v")) for d in dimensions)]
+    for name, e in (medians or {}).items():
+        long = df.select(F.expr(e).alias("x"), F.explode(F.array(*views)).alias("view")).select("x", F.col("view.d").alias("d"), F.col("view.v").alias("v"))
+        got = ranges.quantiles(long, "x", (0.5,), ("d", "v")).select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("q")[0].alias(name))
+        out = out.join(got, F.col("dimension").eqNullSafe(F.col("_d")) & F.col("value").eqNullSafe(F.col("_v")), "left").drop("_d", "_v")
+    return out
 
 
 def compression_metrics(df: DataFrame, dimensions: list[str], width: str, steps: str, length: str) -> DataFrame:
@@ -103,12 +113,10 @@ def compression_metrics(df: DataFrame, dimensions: list[str], width: str, steps:
     return by_dimensions(df, dimensions, {
         "samples": "count(*)",
         "mean_width": f"avg({width})",
-        "median_width": f"median({width})",
         "mean_steps_per_char": f"avg({ratio})",
-        "median_steps_per_char": f"median({ratio})",
         "too_short": f"count_if({steps} < {length})",
         "no_width": f"count_if({width} IS NULL)",
-    })
+    }, {"median_width": width, "median_steps_per_char": ratio})
 
 
 def _next_costs(up: np.ndarray, token: int, pred: np.ndarray) -> np.ndarray:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def group_profile(df: DataFrame, candidates: list[str]) -> DataFrame:
     """For each candidate key: coverage in percent, groups, singletons, and sizes min / median / mean / max."""
@@ -12,10 +14,12 @@ def group_profile(df: DataFrame, candidates: list[str]) -> DataFrame:
     sizes = long.groupBy("candidate", "value").agg(F.count("*").alias("n"))
     filled = F.col("value").isNotNull() & (F.col("value") != "")
     n = F.when(filled, F.col("n"))
-    return sizes.groupBy("candidate").agg(
+    profile = sizes.groupBy("candidate").agg(
         (100 * F.sum(F.coalesce(n, F.lit(0))) / F.sum("n")).alias("coverage"), F.count_if(filled).alias("n_groups"), F.count_if(filled & (F.col("n") == 1)).alias("singletons"),
-        F.min(n).alias("min_size"), F.median(n).alias("median_size"), F.avg(n).alias("mean_size"), F.max(n).alias("max_size"),
+        F.min(n).alias("min_size"), F.avg(n).alias("mean_size"), F.max(n).alias("max_size"),
     )
+    middle = ranges.quantiles(sizes.where(filled), "n", (0.5,), ("candidate",)).select("candidate", F.col("q")[0].alias("median_size"))
+    return profile.join(F.broadcast(middle), "candidate", "left")  # a row for each candidate
 
 
 def manifest_profile(df: DataFrame, text: str, path: str) -> DataFrame:
@@ -25,7 +29,12 @@ def manifest_profile(df: DataFrame, text: str, path: str) -> DataFrame:
 
 
 def running_best(df: DataFrame, order: str, loss: str, partition: list[str] | None = None) -> DataFrame:
-    """Best loss so far, whether a row improves on it, and bad rows since the last improvement."""
+    """Best loss so far, whether a row improves on it, and bad rows since the last improvement, within each partition.
+
+    Without a partition the whole table is one order; ``ranges.running_best`` scans it in ranges.
+    """
+    if not partition:
+        return ranges.running_best(df, [F.col(order)], loss)
     w = Window.partitionBy(*(partition or [])).orderBy(order)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     d = df.withColumn("best_before", F.min(loss).over(past)).withColumn("improved", F.col("best_before").isNull() | (F.col(loss) < F.col("best_before")))
@@ -35,9 +44,9 @@ def running_best(df: DataFrame, order: str, loss: str, partition: list[str] | No
 
 def percentiles(df: DataFrame, c: str, at: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """Exact linear percentiles with min, mean and max, in one row."""
-    ps = F.percentile(c, F.array(*map(F.lit, at)))
-    d = df.agg(ps.alias("_p"), F.min(c).alias("min"), F.avg(c).alias("mean"), F.max(c).alias("max"))
-    return d.select(*(F.col("_p")[i].alias(f"p{int(100 * p)}") for i, p in enumerate(at)), "min", "mean", "max")
+    q = ranges.quantiles(df, c, at).select("q")
+    d = df.agg(F.min(c).alias("min"), F.avg(c).alias("mean"), F.max(c).alias("max")).crossJoin(F.broadcast(q))  # one row each
+    return d.select(*(F.col("q")[i].alias(f"p{int(100 * p)}") for i, p in enumerate(at)), "min", "mean", "max")
 
 
 def rollup_counts(df: DataFrame, *keys: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_sum
+from .skew import attach
+
 
 def global_rank(df: DataFrame, order: list[Column], prefix: Column, name: str = "rank") -> DataFrame:
     """Add the row number (from 1) in ``order``, and ``n_rows``.
@@ -35,18 +38,13 @@ def first_k_per_group(df: DataFrame, keys: list[str], k: int, *order: Column) ->
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Add the mean rank of ties, from counts of distinct values (no window over all rows).
 
-    Ranks of distinct values are taken by ranges of the value, as ``global_rank`` does.
+    Counts are summed up in ranges of equally many distinct values, however they
+    are spread; a value that very many rows share is joined back by ``skew.attach``.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    spread = counts.select(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    c = counts.crossJoin(F.broadcast(spread))  # one row
-    c = c.withColumn("_p", F.when(F.col("_hi") > F.col("_lo"), F.floor(1000 * (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).otherwise(0)).drop("_lo", "_hi")
-    per = c.groupBy("_p").agg(F.sum("_n").alias("_m"))
-    per = per.select("_p", F.coalesce(F.sum("_m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("_w", within).join(F.broadcast(per), "_p")
-    ranks = c.select(value, (F.col("_before") + F.col("_w") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, value, "left")
+    c = running_sum(counts, [F.col(value)], F.col("_n"), "_upto")
+    ranks = c.select(value, "_n", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
+    return attach(df, ranks, value, "_n").drop("_n")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

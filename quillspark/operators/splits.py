@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hex_int
+from .ranges import row_ranks
 from .ranking import global_rank
 
 
@@ -71,16 +72,26 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, quotas: DataFrame,
 
 
 def balanced_first(df: DataFrame, group: str, order: list[Column], total: int, groups: int) -> DataFrame:
-    """total div groups rows of each group in order; what is short is filled from the rest in order."""
+    """total div groups rows of each group in order; what is short is filled from the rest in order.
+
+    A group's quota is cut within each task before rows travel. The fill is needed
+    only where quotas give under ``total`` rows; it is then among the first 2 * total
+    rows of all, in which every row has all rows of its group that come before it. So
+    no task takes a whole group.
+    """
     per = total // groups
-    d = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    order = [*order, F.xxhash64(*df.columns)]
+    by_group = Window.partitionBy(group).orderBy(*order)
+    quota = df.withColumn("_r", F.row_number().over(by_group)).where(F.col("_r") <= per)
+    first = df.orderBy(*order).limit(2 * total)
+    fill = first.withColumn("_r", F.row_number().over(by_group)).where(F.col("_r") > per)
     # the quota's rows come first, then the others; both in order
-    return d.orderBy(F.col("_r") > per, *order).limit(total).drop("_r")
+    return quota.union(fill).orderBy(F.col("_r") > per, *order).limit(total).drop("_r")
 
 
 def bucket_batches(df: DataFrame, size: str, batch: int, key: str) -> DataFrame:
-    """Batches of rows of like size: ``batch_id`` by rank of (size, key)."""
-    d = global_rank(df, [F.col(size), F.col(key)], F.col(size), "_rank")
+    """Batches of rows of like size: ``batch_id`` by rank of (size, key), taken in ranges of both, so that rows of one size are many tasks' work."""
+    d = row_ranks(df, [F.col(size), F.col(key)], "_rank")
     return d.withColumn("batch_id", F.floor((F.col("_rank") - 1) / batch)).drop("_rank", "n_rows")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import dedup, profiles, quality, ranking, splits
+from ..operators import dedup, profiles, quality, ranges, ranking, splits
 from .registry import query, table
 
 _BUCKET = "CAST('0x' || substr(sha1(source), 1, 8) AS BIGINT) % 100"
@@ -292,7 +292,7 @@ def agg07_group_profile(spark, sf_dir):
 @query("SELECT min(w) AS least, median(w) AS middle, max(w) AS most, count(*) AS n FROM (SELECT conv_id, sum(CASE WHEN trim(text) = '' THEN 0 ELSE len(list_filter(string_split_regex(text, '[\\s\\x{00A0}]+'), lambda x: x <> '')) END) AS w FROM conversations GROUP BY 1)")
 def agg20_words_per_page(spark, sf_dir):
     pages = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(T.word_count(F.coalesce("text", F.lit("")))).alias("w"))
-    return pages.agg(F.min("w").alias("least"), F.median("w").alias("middle"), F.max("w").alias("most"), F.count("*").alias("n"))
+    return ranges.quantiles(pages, "w", (0.5,)).select(F.col("least").cast("bigint").alias("least"), F.col("q")[0].alias("middle"), F.col("most").cast("bigint").alias("most"), F.col("n_values").alias("n"))
 
 
 @query("SELECT quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90, quantile_cont(n_chars, 0.95) AS p95, quantile_cont(n_chars, 0.99) AS p99, min(n_chars) AS min, avg(n_chars) AS mean, max(n_chars) AS max FROM documents")
@@ -310,6 +310,16 @@ def win10_running_best(spark, sf_dir):
     return d.select(F.col("day").cast("string").alias("day"), F.round("loss", 6).alias("loss"), F.round("best_before", 6).alias("best_before"), "improved", "bad_rows")
 
 
+@query("""
+WITH b AS (SELECT event_id, value, min(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before, ts FROM events),
+i AS (SELECT *, best_before IS NULL OR coalesce(value < best_before, false) AS improved FROM b), s AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (ORDER BY ts, event_id) AS streak FROM i)
+SELECT event_id, best_before, improved, row_number() OVER (PARTITION BY streak ORDER BY ts, event_id) - 1 AS bad_rows FROM s""")
+def win10_running_best_rows(spark, sf_dir):
+    """The running best over every event in the order of time, scanned in ranges."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    return ranges.running_best(events, [F.col("ts"), F.col("event_id")], "value").select("event_id", "best_before", "improved", "bad_rows")
+
+
 @query("SELECT doc_id, CAST(lower(trim(CAST(q AS VARCHAR))) IN ('true', '1', 'yes', 'y') AS BOOLEAN) AS flag FROM (SELECT doc_id, quality AS q FROM labels)")
 def flt16_boolean_text(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", T.as_boolean(F.col("quality").cast("string")).alias("flag"))

@@ -86,7 +86,7 @@ WITH d AS (SELECT *, {_BUCKET} AS length_bucket FROM documents LEFT JOIN labels
 SELECT 'overall' AS dimension, NULL AS value, {_METRICS} FROM d UNION ALL SELECT 'lang', lang, {_METRICS} FROM d GROUP BY lang UNION ALL SELECT 'source', source, {_METRICS} FROM d GROUP BY source UNION ALL SELECT 'length_bucket', length_bucket, {_METRICS} FROM d GROUP BY length_bucket""")
 def agg12_grouping_sets(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("length_bucket", N.buckets(F.col("n_chars"), [500, 1000, 5000]))
-    return metrics.by_dimensions(d, ["lang", "source", "length_bucket"], {"n": "count(*)", "chars": "sum(n_chars)", "median_chars": "median(n_chars)", "mean_chars": "round(avg(n_chars), 6)", "good": "count_if(quality = 1)"})
+    return metrics.by_dimensions(d, ["lang", "source", "length_bucket"], {"n": "count(*)", "chars": "sum(n_chars)", "mean_chars": "round(avg(n_chars), 6)", "good": "count_if(quality = 1)"}, {"median_chars": "n_chars"})
 
 
 @query("SELECT length_bucket, words_bucket, count(*) AS n FROM (SELECT CASE WHEN l <= 5 THEN '<=5' WHEN l <= 10 THEN '(5,10]' WHEN l <= 20 THEN '(10,20]' WHEN l <= 40 THEN '(20,40]' WHEN l <= 80 THEN '(40,80]' ELSE '>80' END AS length_bucket, CASE WHEN w <= 1 THEN '<=1' WHEN w <= 2 THEN '(1,2]' WHEN w <= 5 THEN '(2,5]' WHEN w <= 10 THEN '(5,10]' ELSE '>10' END AS words_bucket FROM (SELECT length(text) AS l, len(list_filter(string_split_regex(text, '[\\s\\x{00A0}]+'), lambda x: x <> '')) AS w FROM conversations)) GROUP BY ALL")
