@@ -102,11 +102,20 @@ def src09d_tab_or_space_label(spark, sf_dir):
 
 @query("SELECT s_suppkey AS suppkey, CAST(row_number() OVER (ORDER BY s_suppkey) + 1 AS INTEGER) AS row FROM supplier")
 def prj04_row_number(spark, sf_dir):
-    """Rows of one manifest file by their place in it: the header is row 1."""
+    """Rows of an ordered manifest by their place: the header is row 1."""
     path = sinks.work_folder(spark)
-    sinks.write_csv(table(spark, sf_dir, "supplier").orderBy("s_suppkey").coalesce(1), path, ["s_suppkey", "s_name"])
-    d = manifests.with_row_number(manifests.read_manifest(spark, path))
-    return d.select(F.col("s_suppkey").cast("bigint").alias("suppkey"), "row")
+    sinks.write_csv(table(spark, sf_dir, "supplier").orderBy("s_suppkey"), path, ["s_suppkey", "s_name"])
+    d = manifests.placed_parts(spark, path, ["s_suppkey", "s_name"])
+    return d.select(F.col("s_suppkey").cast("bigint").alias("suppkey"), (F.col("place") + 1).cast("int").alias("row"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(replace(text, chr(13), chr(10)), '') AS text, coalesce(lang, '') AS lang, row_number() OVER (ORDER BY doc_id) AS place FROM documents")
+def prj04_places_across_lines(spark, sf_dir):
+    """Whole texts with quotes and line breaks in an ordered manifest, read in ranges of its files and numbered."""
+    path = sinks.work_folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit("\n")).alias("text"), "lang")
+    sinks.write_csv(docs.orderBy("doc_id"), path, ["doc_id", "text", "lang"])
+    return manifests.placed_parts(spark, path, ["doc_id", "text", "lang"])
 
 
 @query("SELECT c_custkey AS custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS page_id, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS word_index, CASE WHEN c_custkey % 3 = 0 THEN 'not a page and word: ' || c_nationkey || '-' || c_custkey END AS error FROM customer")

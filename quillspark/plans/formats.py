@@ -251,11 +251,11 @@ def jon05_resolved_paths(spark, sf_dir):
 
 
 def _placed(spark, ordered, columns, key):
-    """The rows' places in one file that is written in order."""
+    """The rows' places over all files that an ordered table is written to."""
     path = sinks.work_folder(spark)
-    sinks.write_csv(ordered.coalesce(1), path, columns)
-    d = manifests.with_row_number(manifests.read_manifest(spark, path))
-    return d.select(F.col(key).cast("bigint").alias(key), (F.col("row") - 1).alias("place"))
+    sinks.write_csv(ordered, path, columns)
+    d = manifests.placed_parts(spark, path, columns)
+    return d.select(F.col(key).cast("bigint").alias(key), F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_nationkey, s_name DESC, s_suppkey) AS INTEGER) AS place FROM supplier")

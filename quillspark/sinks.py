@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 def write_csv(df: DataFrame, path: str, fields: list[str], mode: str = "errorifexists", mark: bool = False) -> None:
     """CSV with these columns in this order; others are left out, missing ones are empty.
 
-    ``mark`` puts a byte order mark before the header, for spreadsheet programs.
+    Blanks at the ends of values stay. ``mark`` puts a byte order mark before the header, for spreadsheet programs.
     """
     out = df.select(*(F.col(c) if c in df.columns else F.lit("").alias(c) for c in fields))
     if mark:
         out = out.withColumnRenamed(fields[0], f"\ufeff{fields[0]}")
-    out.write.mode(mode).options(header=True, escape='"').csv(path)
+    out.write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def union_of_keys(tables: list[DataFrame]) -> DataFrame:

@@ -15,7 +15,7 @@ from quillspark.sources import manifests
 def test_rows_are_numbered_in_each_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,text\nx,"one\ntwo"\ny,"say ""hi"""\n', encoding="utf-8")
     (tmp_path / "b.csv").write_text("id,text\nz,\n", encoding="utf-8")
-    d = manifests.with_row_number(manifests.read_manifest(spark, str(tmp_path), ["id", "text"]))
+    d = manifests.numbered_manifest(spark, str(tmp_path), ["id", "text"])
     assert sorted((r.file.rsplit("/", 1)[1], r.row, r.id, r.text) for r in d.collect()) == [("a.csv", 2, "x", "one\ntwo"), ("a.csv", 3, "y", 'say "hi"'), ("b.csv", 2, "z", "")]
 
 
