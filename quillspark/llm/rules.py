@@ -246,15 +246,17 @@ def base_failed() -> Column:
 
 
 def learn_from(docs: DataFrame, labels: DataFrame) -> list[Rule]:
-    """Learn from at most MAX_LABELLED rows of ``labels`` (doc_id, quality) that the base leaves.
+    """Learn from at most MAX_LABELLED ids of ``labels`` (doc_id, quality), and as many of their rows that the base leaves.
 
-    Labels that are null are no labels. Without labels the list is empty.
+    Labels that are null are no labels. Without labels the list is empty. An id of
+    very many rows stays within the bound: rows of the least hash of the id come first.
     """
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     # at most MAX_LABELLED rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     got = with_counts(rows).where(~base_failed()).select("doc_id", "quality", *(F.expr(e).alias(k) for k, e in FEATURES.items()))
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *FEATURES).limit(MAX_LABELLED)
     got = got.toPandas().sort_values("doc_id", kind="stable")
     return learn({k: got[k].to_numpy(float) for k in FEATURES}, got["quality"].to_numpy() == 0)
 

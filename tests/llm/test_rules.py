@@ -87,3 +87,13 @@ def test_a_rule_must_shorten_the_description():
     few[:6] = True
     found = rules.learn({"a": np.concatenate([np.full(6, 0.9), np.linspace(0, 0.5, 54)])}, few)
     assert len(found) == 1 and found[0][0].above and 0.5 <= found[0][0].cut < 0.9
+
+
+def test_an_id_of_many_rows_stays_within_the_bound(spark, monkeypatch):
+    """One labelled id has 500 rows; no more than the bound are learned from."""
+    monkeypatch.setattr(rules, "MAX_LABELLED", 40)
+    docs = spark.range(500).selectExpr("CAST(IF(id < 470, 1, id) AS BIGINT) AS doc_id", "array_join(transform(sequence(1, 30), i -> concat('w', i * (id + 1))), ' ') AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality").distinct()
+    seen = []
+    monkeypatch.setattr(rules, "learn", lambda x, bad: seen.append(len(bad)) or [])
+    assert rules.learn_from(docs, labels) == [] and seen == [40]
