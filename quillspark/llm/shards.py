@@ -51,11 +51,13 @@ def hypergeometric_shuffle(df: DataFrame, n_shards: int, key: list[str], seed: i
 
     ``key`` are columns that tell rows apart; rows equal in all of them are
     interchangeable, nulls count as a value, an empty table stays empty. Columns
-    that are called like the added ones are replaced. Reruns agree.
+    that are called like the added ones are replaced; others pass through whatever
+    their names. Reruns agree.
     """
     spark = df.sparkSession
-    df = df.drop("shard", "slot")
-    k = [F.col(c) for c in key]
+    columns = [c for c in df.columns if c not in ("shard", "slot")]
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_whole"))
+    k = [F.col("_whole").getField(c) for c in key]
     total = df.count()
     parts = int(min(MAX_PARTITIONS, max(1, -(-total // ROWS_PER_PARTITION))))
     part = F.least(F.floor(_unit(F.lit(seed), F.lit("part"), *k) * parts).cast("int"), F.lit(parts - 1))
@@ -81,4 +83,4 @@ def hypergeometric_shuffle(df: DataFrame, n_shards: int, key: list[str], seed: i
     held = sent.groupBy("shard", "_range").count()
     before = held.withColumn("_before", F.sum("count").over(Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "_range", F.coalesce("_before", F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("shard", "_range").orderBy("_u", *k)) - 1
-    return sent.withColumn("_rank", rank).join(before, ["shard", "_range"]).withColumn("slot", F.col("_before") + F.col("_rank")).drop("_range", "_u", "_rank", "_before")
+    return sent.withColumn("_rank", rank).join(before, ["shard", "_range"]).select(*(F.col("_whole").getField(c).alias(c) for c in columns), "shard", (F.col("_before") + F.col("_rank")).alias("slot"))

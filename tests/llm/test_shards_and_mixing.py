@@ -168,3 +168,12 @@ def test_query_of_shards_matches_brute_force(spark, documents):
     held = Counter(r.shard for r in got)
     assert set(held) == set(range(16)) and max(held.values()) - min(held.values()) <= 1
     assert sorted((r.shard, r.slot) for r in got) == sorted((s, i) for s, n in held.items() for i in range(n))
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["_part", "_u", "_rank", "_range", "_cuts", "_before", "count", "_whole", "a.b"]
+    d = spark.range(300).select("id", *(F.col("id").alias(c) for c in names), F.lit(-1).alias("shard"), F.lit(-1).alias("slot"))
+    got = shards.hypergeometric_shuffle(d, 4, ["id"])
+    assert got.columns == ["id", *names, "shard", "slot"]
+    rows = got.collect()
+    assert all(set(r[1:-2]) == {r.id} for r in rows) and sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(4) for i in range(75)]
