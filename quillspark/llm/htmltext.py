@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,6 +96,7 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked = link_depth = 0
     endless: set[str] = set()
+    opened: Counter[str] = Counter()  # elements on the stack by tag
 
     def flush() -> None:
         nonlocal text, linked
@@ -128,10 +130,10 @@ def blocks(page: str) -> list[Block]:
             if tag in _INLINE:
                 continue
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if elements[stack[i]].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:  # else nothing to close, which a look through the whole stack would find too
+                while elements[stack[-1]].tag != tag:
+                    opened[elements[stack.pop()].tag] -= 1
+                opened[elements[stack.pop()].tag] -= 1
         else:
             if tag in _RAW:
                 if tag == "svg" and m[3].rstrip().endswith("/"):
@@ -154,9 +156,10 @@ def blocks(page: str) -> list[Block]:
             if tag in _VOID:
                 continue
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and elements[stack[-1]].tag == tag:
-                stack.pop()  # its end tag was left out
+                opened[elements[stack.pop()].tag] -= 1  # its end tag was left out
             elements.append(_element(tag, m[3], stack[-1], elements[stack[-1]]))
             stack.append(len(elements) - 1)
+            opened[tag] += 1
             link_depth = 0
     flush()
     return _placed(found, elements)

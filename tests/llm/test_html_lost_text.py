@@ -1,5 +1,7 @@
 """Text that markup must not take out of an article."""
 
+import time
+
 import pytest
 
 from quillspark.llm import htmltext as h
@@ -32,3 +34,11 @@ def test_math_object_and_select():
 @pytest.mark.parametrize("code", ["<script>var t = 'some words of code that are not text';", "<style>p { color: red }"])
 def test_code_cut_short_is_no_text(code):
     assert h.main_blocks(f"<article><p>{LEAD}</p>{code}", TREE) == [LEAD]
+
+
+def test_many_unmatched_end_tags_take_linear_time():
+    """180 KB of open elements and end tags without a start are read in well under a second each."""
+    page = "<div>" * 20_000 + "some words" + "</section>" * 20_000 + "<p>more</p>" + "</div>" * 20_000
+    began = time.process_time()
+    assert [b.text for b in h.blocks(page)] == ["some words", "more"]
+    assert time.process_time() - began < 5
