@@ -71,3 +71,13 @@ def test_run_on_an_empty_table(spark, no_docs, tmp_path):
     no_docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_with_columns_that_have_no_order(spark):
+    """Maps and variants can't be compared; of rows alike in doc_id and text one stays all the same."""
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, long, {"a": 1}), (1, long, {"a": 2}), (2, long, {}), (3, "something else altogether that nobody copied at all", None), (4, None, {"b": 1})]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, meta map<string,int>")
+    for d in (docs, docs.withColumn("meta", F.parse_json(F.to_json("meta")))):
+        got = c.near_duplicates(spark, d, SF)
+        assert got.columns == ["doc_id", "text", "meta"] and sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
