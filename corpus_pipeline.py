@@ -5,6 +5,8 @@ quality rules -> near duplicates -> repeated passages -> mix of sources -> sampl
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are judged by themselves, so that neither a missing nor a repeated doc_id
     drops one. Texts without words (null, empty, blank) link with nothing: their rows
     all stay. Of equal rows one stays; of rows alike in doc_id and text the one whose
-    other columns are least. Other columns pass through whatever their names; an
+    other columns are least, or whose JSON has the least hash where a column has no
+    order (a map or a variant). Other columns pass through whatever their names; an
     empty table stays empty.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -44,7 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     worded = F.coalesce("text", F.lit("")).rlike(WORD_RE)
     kept = rows.where(worded).join(first.select(F.col("_first.id").alias("_node")), "_node", "left_semi")
     # equal rows are one node; one of them stays
-    kept = kept.groupBy("_node", "doc_id", "text").agg(F.min("_row").alias("_row"))
+    ordered = not re.search(r"\b(map<|variant\b)", rows.schema["_row"].dataType.simpleString())
+    least = F.min("_row") if ordered else F.min_by("_row", F.xxhash64(F.to_json("_row")))
+    kept = kept.groupBy("_node", "doc_id", "text").agg(least.alias("_row"))
     column = lambda c: F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c)
     return kept.select(*map(column, docs.columns)).union(docs.where(~worded))
 
