@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import sinks
+from .. import published, sinks
 from ..functions import text as T
 from ..operators import metrics
-from ..sources import manifests
+from ..sources import documents, manifests
 from .registry import query, table
 
 
@@ -40,16 +40,17 @@ def src03_typed_manifest(spark, sf_dir):
     return manifests.typed(manifests.read_manifest(spark, path), {"key": "bigint", "price": "double", "clerk": "int"})
 
 
-@query("SELECT * FROM (VALUES ('doc_id', 'bigint', true), ('text', 'string', true), ('lang', 'string', true), ('source', 'string', true), ('n_chars', 'bigint', true)) v(name, type, nullable)")
+@query("SELECT name, type, true AS nullable, filled, example FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, '{t}' AS type, count({c}) AS filled, min(CAST({c} AS VARCHAR)) AS example FROM documents" for c, t in {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}.items()) + ")")
 def src05_describe(spark, sf_dir):
+    """SRC-06: columns, their types, how many rows fill them and an example."""
     return manifests.describe(table(spark, sf_dir, "documents"))
 
 
-@query("SELECT DISTINCT n_regionkey AS regionkey, n_name || ' \u0645' AS text FROM nation WHERE n_nationkey % 5 = 0")
+@query("SELECT DISTINCT n_regionkey AS regionkey, n_name || ' \u0645' AS text FROM nation")
 def src06_text_files(spark, sf_dir):
     """Text files, a folder of them for each region, read whole."""
     path = sinks.work_folder(spark)
-    rows = table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select("n_nationkey", "n_regionkey", F.concat("n_name", F.lit(" \u0645")).alias("value"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.concat("n_name", F.lit(" \u0645")).alias("value"))
     rows.repartition("n_nationkey").write.partitionBy("n_nationkey", "n_regionkey").text(path)
     d = manifests.read_texts(spark, path)
     return d.select(F.regexp_extract("path", "n_regionkey=(\\d+)", 1).cast("bigint").alias("regionkey"), F.rtrim(F.translate("text", "\n", "")).alias("text")).distinct()
@@ -162,3 +163,36 @@ def snk12_replaced(spark, sf_dir):
     sinks.replace(nations, path)
     sinks.replace(nations.where("nationkey % 2 = 1"), path)
     return spark.read.parquet(path)
+
+
+@query("SELECT n_nationkey AS nationkey, n_name AS name, 25 AS before FROM nation WHERE n_nationkey % 2 = 1")
+def snk12_published(spark, sf_dir):
+    """A table swapped without a gap: who opened the version before reads it to its end, the next one reads the new rows."""
+    path = sinks.work_folder(spark)
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("name"))
+    published.publish(nations, path)
+    opened = published.published(spark, path)
+    published.publish(nations.where("nationkey % 2 = 1"), path)
+    return published.published(spark, path).crossJoin(F.broadcast(opened.agg(F.count("*").cast("int").alias("before"))))  # one row
+
+
+@query("SELECT c_custkey AS custkey, CASE WHEN c_custkey % 2 = 0 THEN 'existing' ELSE 'copied' END AS second, 'existing' AS third, c_name AS content FROM customer")
+def snk07_repeated_installs(spark, sf_dir):
+    """Half of the customers' files installed, then all of them, then all again."""
+    path = sinks.work_folder(spark)
+    files = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("images/c"), "c_custkey", F.lit(".txt")).alias("target"), F.col("c_name").cast("binary").alias("content"))
+    published.install(files.where("c_custkey % 2 = 0").select("target", "content"), path)
+    second = published.install(files.select("target", "content"), path).withColumnRenamed("status", "second")
+    third = published.install(files.select("target", "content"), path).withColumnRenamed("status", "third")
+    there = published.published(spark, path).select("target", F.col("content").cast("string").alias("content"))
+    return second.join(third, "target").join(there, "target").select(F.regexp_extract("target", "c(\\d+)", 1).cast("bigint").alias("custkey"), "second", "third", "content")
+
+
+@query("SELECT c_custkey // 100 AS package, 'c' || c_custkey || '.txt' AS name, c_name AS content FROM customer")
+def snk09_packages(spark, sf_dir):
+    """A ZIP of every hundred customers under names that no two of its paths share, read back."""
+    files = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 100).alias("package"), F.concat(F.lit("d/"), F.pmod("c_custkey", F.lit(7)), F.lit("/c"), "c_custkey", F.lit(".txt")).alias("path"), F.col("c_name").cast("binary").alias("content"))
+    named = published.package_names(files, "path", "package")
+    zips = named.groupBy("package").agg(F.array_sort(F.collect_list(F.struct("name", "content"))).alias("members")).select(F.col("package").cast("string").alias("path"), sinks.zipped(F.col("members")).alias("content"))
+    got = documents.zip_members(zips.withColumn("length", F.length("content").cast("bigint")))
+    return got.select(F.col("path").cast("bigint").alias("package"), F.col("member").alias("name"), F.col("bytes").cast("string").alias("content"))

@@ -1,4 +1,4 @@
-"""Column checks and the all-string manifest schemas."""
+"""Column checks and all-string schemas."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-#: Columns of manifests as they are written, in order (fixed values).
-BASIC = ["image", "text", "language", "dataset", "split"]
-MASTER = ["image", "text", "language", "dataset", "split", "domain", "source_type", "usage_scope", "source_manifest", "source_row", "sha256"]
-REMOVED = [*MASTER, "reason", "kept_image", "kept_split", "group_splits", "group_texts"]
-
 
 class MissingColumns(ValueError):
     """A table lacks columns that an operator needs."""

@@ -173,9 +173,9 @@ def read_json_document(spark: SparkSession, path, schema) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """``name, type, nullable`` of the columns: the schema as rows."""
-    rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "name string, type string, nullable boolean")
+    """``name, type, nullable, filled, example`` of the columns: the schema, and from the rows how many have a value, and the least one as text."""
+    facts = F.array(*(F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.nullable).alias("nullable"), F.count(F.col(f"`{f.name}`")).alias("filled"), F.min(F.col(f"`{f.name}`").cast("string")).alias("example")) for f in df.schema.fields))
+    return df.agg(facts.alias("facts")).select(F.inline("facts"))
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
