@@ -167,13 +167,25 @@ def mth02_log_add(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(N.log_add(a), 6).alias("total"))
 
 
-@query()
+_FRAME = " UNION ALL ".join(f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS t, {k} AS c, (1 + CAST('0x' || substr(sha256(text || '{k}'), 1, 8) AS BIGINT) % 97) / 600.0 AS p FROM conversations" for k in range(6))
+
+
+@query(f"""
+WITH RECURSIVE f AS MATERIALIZED ({_FRAME}), n AS (SELECT conv_id, max(t) AS n FROM f GROUP BY 1),
+beams AS (SELECT conv_id, 0 AS t, [0][2:] AS x, 1.0::DOUBLE AS b, 0.0::DOUBLE AS s FROM n UNION ALL
+ SELECT conv_id, t, x, b, s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(ln(b + s), 9) DESC, x) AS k FROM (
+  SELECT conv_id, t, x, sum(b) AS b, sum(s) AS s FROM (
+   SELECT o.conv_id, f.t, unnest(CASE WHEN f.c = 0 THEN [{{'x': o.x, 'b': (o.b + o.s) * f.p, 's': 0.0}}] WHEN len(o.x) > 0 AND o.x[-1] = f.c THEN [{{'x': o.x, 'b': 0.0, 's': o.s * f.p}}, {{'x': list_append(o.x, f.c), 'b': 0.0, 's': o.b * f.p}}] ELSE [{{'x': list_append(o.x, f.c), 'b': 0.0, 's': (o.b + o.s) * f.p}}] END, recursive := true)
+   FROM beams o JOIN f ON f.conv_id = o.conv_id AND f.t = o.t + 1) GROUP BY ALL) WHERE b + s > 0) WHERE k <= 5)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY round(ln(b + s), 9) DESC, x) - 1 AS INTEGER) AS rank, array_to_string(x, ',') AS indices, round(ln(b + s), 6) AS log_prob FROM beams JOIN n USING (conv_id) WHERE t = n""")
 def udf04_beam_search(spark, sf_dir):
     """Beams over frame scores made from each conversation's turns (six symbols, a frame for each turn)."""
     c = table(spark, sf_dir, "conversations")
-    score = F.array(*(F.ln((1 + F.pmod(F.crc32(F.concat("text", F.lit(str(k))).cast("binary")), F.lit(97))) / 600.0) for k in range(6)))
+    digits = lambda k: F.conv(F.substring(F.sha2(F.concat("text", F.lit(str(k))), 256), 1, 8), 16, 10).cast("bigint")
+    score = F.array(*(F.ln((1 + digits(k) % 97) / 600.0) for k in range(6)))
     rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", score.alias("s")))).alias("t")).select("conv_id", F.transform("t", lambda x: x["s"]).alias("frames"))
-    return decoding.beam_search(rows, "conv_id", "frames", beam=5)
+    d = decoding.beam_search(rows, "conv_id", "frames", beam=5)
+    return d.select("conv_id", "rank", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"), F.round("log_prob", 6).alias("log_prob"))
 
 
 #: Logical texts and what is seen: Hebrew and Arabic runs turn, numbers in them don't, brackets mirror.
