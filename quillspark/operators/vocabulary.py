@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +16,31 @@ def char_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 def char_inventory(df: DataFrame, keys: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Occurrences of each character."""
-    keys = keys or []
+    """Occurrences of each character. Without keys they are counted within each task, and only counts travel."""
+    if not keys:
+        counted = df.select(F.col(text).cast("string")).mapInArrow(_code_points, "ch string, n bigint")
+        return counted.groupBy("ch").agg(F.sum("n").alias("n"))
     return char_rows(df, keys, text).groupBy(*keys, "ch").agg(F.count("*").alias("n"))
 
 
+def _code_points(batches):
+    """Code points of all texts of a task, counted in one array."""
+    n = np.zeros(0x110000, np.int64)
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            joined = "".join(t for t in b.column(0).slice(at, 256).to_pylist() if t)
+            found = np.bincount(np.frombuffer(joined.encode("utf-32-le"), np.uint32))
+            n[: len(found)] += found
+    used = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in used], pa.string()), pa.array(n[used])], names=["ch", "n"])
+
+
 def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
     """``ch, idx``: characters in code point order from 1; 0 is left for the blank.
 
     The inventory has a row for each distinct character, so its window is small.
     """
-    return char_rows(df, [], text).distinct().withColumn("idx", F.row_number().over(Window.orderBy("ch"))).select("ch", "idx")
+    return char_inventory(df, text=text).select("ch").withColumn("idx", F.row_number().over(Window.orderBy("ch"))).select("ch", "idx")
 
 
 def vocabulary_map(vocab: DataFrame) -> DataFrame:

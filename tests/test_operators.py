@@ -213,3 +213,11 @@ def test_running_best(spark):
     d = spark.createDataFrame(list(enumerate([5.0, 6.0, 4.0, 4.0, 4.5, 1.0])), "epoch int, loss double")
     got = [(r.improved, r.bad_rows) for r in profiles.running_best(d, "epoch", "loss").orderBy("epoch").collect()]
     assert got == [(True, 0), (False, 1), (True, 0), (False, 1), (False, 2), (True, 0)]
+
+
+def test_characters_are_counted_within_tasks(spark):
+    rows = [(None,), ("",), ("aé\U0001f642a",), ("\n a",)] + [("b" * 10_000,)] * 3
+    d = spark.createDataFrame(rows, "text string")
+    assert {r.ch: r.n for r in vocabulary.char_inventory(d).collect()} == {"a": 3, "é": 1, "\U0001f642": 1, "\n": 1, " ": 1, "b": 30_000}
+    assert vocabulary.char_inventory(d.limit(0)).count() == 0
+    assert [(r.ch, r.idx) for r in vocabulary.vocabulary(d).orderBy("idx").collect()] == [(c, i) for i, c in enumerate("\n abé\U0001f642", 1)]
