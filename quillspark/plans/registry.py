@@ -27,4 +27,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import curation, evaluation, extraction, files, formats, vocabularies  # noqa: E402, F401
+from . import curation, evaluation, extraction, files, formats, images, vocabularies  # noqa: E402, F401
