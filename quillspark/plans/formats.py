@@ -83,7 +83,7 @@ def _pdfs(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     shown = F.format_string("BT /F1 10 Tf 50 700 Td (%s) Tj 0 -12 Td (%s) Tj ET BT /F1 10 Tf 1 0 0 1 50 500 Tm (key) Tj ET BT 1 0 0 1 150 500 Tm (nation) Tj ET BT 1 0 0 1 50 488 Tm (%d) Tj ET BT 1 0 0 1 150 488 Tm (%d) Tj ET", "c_name", "c_mktsegment", "c_custkey", "c_nationkey")
     stream = lambda head, body: F.concat(F.lit(f"<< {head} >>\nstream\n"), body, F.lit("\nendstream"))
-    objects = [F.lit("<< /Type /Catalog /Pages 2 0 R >>"), F.lit("<< /Type /Pages /Kids [3 0 R] /Count 1 >>"), F.lit("<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>"), stream("/Length 0", shown), stream("/Subtype /Image /Filter /DCTDecode", F.concat(F.lit("image of "), "c_name"))]
+    objects = [F.lit("<< /Type /Catalog /Pages 2 0 R >>"), F.lit("<< /Type /Pages /Kids [3 0 R] /Count 1 >>"), F.lit("<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << >> /XObject << /Im0 5 0 R >> >> >>"), stream("/Length 0", shown), stream("/Subtype /Image /Filter /DCTDecode", F.concat(F.lit("image of "), "c_name"))]
     parts = [F.concat(F.lit(f"{i} 0 obj\n"), o, F.lit("\nendobj\n")) for i, o in enumerate(objects, 1)]
     return _files(c, "c_custkey", F.concat(F.lit("%PDF-1.4\n"), *parts).cast("binary"))
 
@@ -98,9 +98,9 @@ def src17_pdf_tables(spark, sf_dir):
     return _key(D.pdf_tables(_pdfs(spark, sf_dir)), "custkey").select("custkey", "page", "table_index", _grid(F.col("rows")).alias("cells"))
 
 
-@query("SELECT c_custkey AS custkey, 0 AS img_index, 'jpg' AS ext, 'image of ' || c_name AS image FROM customer")
+@query("SELECT c_custkey AS custkey, 1 AS page, 0 AS img_index, 'jpg' AS ext, 'image of ' || c_name AS image FROM customer")
 def src18_pdf_images(spark, sf_dir):
-    return _key(D.pdf_images(_pdfs(spark, sf_dir)), "custkey").select("custkey", "img_index", "ext", F.col("bytes").cast("string").alias("image"))
+    return _key(D.pdf_images(_pdfs(spark, sf_dir)), "custkey").select("custkey", "page", "img_index", "ext", F.col("bytes").cast("string").alias("image"))
 
 
 def _docx(spark, sf_dir):

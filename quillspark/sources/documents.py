@@ -308,6 +308,40 @@ class _Pdf:
             visit(root)
         return out
 
+    def dictionary(self, body: bytes, key: bytes) -> bytes:
+        """The dictionary under a key, written in place or referred to; empty where there is none."""
+        m = re.search(rb"/%s\s*(?:(\d+)\s+\d+\s+R|(?=<<))" % key, body)
+        if not m:
+            return b""
+        if m[1]:
+            return self.objects.get(int(m[1]), b"")
+        depth = 0
+        for t in re.finditer(rb"<<|>>", body[m.end() :]):
+            depth += 1 if t[0] == b"<<" else -1
+            if not depth:
+                return body[m.end() : m.end() + t.end()]
+        return body[m.end() :]
+
+    def image(self, number: int) -> tuple[str, bytes] | None:
+        """Extension and bytes of an object that is an image."""
+        body = self.objects.get(number, b"")
+        m = _STREAM.search(body)
+        head = body[: m.start()] if m else b""
+        if not re.search(rb"/Subtype\s*/Image\b", head):
+            return None
+        ext = "jpg" if b"/DCTDecode" in head else "jp2" if b"/JPXDecode" in head else "raw"
+        return ext, m[1] if ext != "raw" else zlib.decompressobj().decompress(m[1]) if b"/FlateDecode" in head else m[1]
+
+    def named(self, page: bytes) -> list[int]:
+        """Numbers of the objects among the page's resources, in their order; a page without resources has those of the nodes above."""
+        for _ in range(50):
+            found = self.dictionary(page, b"Resources")
+            parent = re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", page)
+            if found or not parent:
+                break
+            page = self.objects.get(int(parent[1]), b"")
+        return [int(n) for n in re.findall(rb"/[^\s/<>\[\]()]+\s+(\d+)\s+\d+\s+R", self.dictionary(found, b"XObject"))]
+
     def content(self, page: bytes) -> bytes:
         m = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+)\s+\d+\s+R)", page, re.S)
         if not m:
@@ -422,16 +456,19 @@ def pdf_tables(files: DataFrame) -> DataFrame:
 
 
 def pdf_images(files: DataFrame) -> DataFrame:
-    """``path, img_index, ext, bytes`` of embedded JPEG and JPEG 2000 images, and raw samples of others."""
+    """``path, page, img_index, ext, bytes``: JPEG and JPEG 2000 files as they are, raw samples of others.
 
-    def parse(data):
-        n = 0
-        for body in _Pdf(data).objects.values():
-            m = _STREAM.search(body)
-            if m and re.search(rb"/Subtype\s*/Image\b", body[: m.start()]):
-                head = body[: m.start()]
-                ext = "jpg" if b"/DCTDecode" in head else "jp2" if b"/JPXDecode" in head else "raw"
-                yield n, ext, m[1] if ext != "raw" else zlib.decompressobj().decompress(m[1]) if b"/FlateDecode" in head else m[1]
-                n += 1
+    Pages count from 1, the images that a page names from 0; an image that several pages
+    name comes once for each, and those that none names come last, without a page.
+    """
 
-    return _rows(files, parse, "img_index int, ext string, bytes binary")
+    def parse(data):
+        pdf = _Pdf(data)
+        used: set[int] = set()
+        for page, body in enumerate(pdf.pages(), 1):
+            found = [(i, image) for i in pdf.named(body) if (image := pdf.image(i))]
+            used.update(i for i, _ in found)
+            yield from ((page, n, *image) for n, (_, image) in enumerate(found))
+        yield from ((None, n, *image) for n, image in enumerate(image for i in pdf.objects if i not in used and (image := pdf.image(i))))
+
+    return _rows(files, parse, "page int, img_index int, ext string, bytes binary")

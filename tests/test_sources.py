@@ -136,3 +136,37 @@ def test_streams(spark, tmp_path):
     q = incremental.snapshots(incremental.keep_first_stream(stream, ["key"], "ts", "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["k", "m"]
+
+
+def _pdf_of(objects):
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, b) for n, b in objects.items())
+
+
+def test_pdf_images_have_the_pages_that_name_them(spark):
+    """Resources in place, referred to, and of the node above; one image on two pages; one on none; pages inside an object stream."""
+    image = lambda x, f: b"<< /Type /XObject /Subtype /Image %s >>\nstream\n%s\nendstream" % (f, x)
+    packed = {
+        3: b"<< /Type /Page /Parent 2 0 R /Resources << /XObject << /B 11 0 R /A 10 0 R /F 13 0 R >> >> >>",
+        4: b"<< /Type /Page /Parent 2 0 R >>",
+        5: b"<< /Type /Page /Parent 2 0 R /Resources 7 0 R >>",
+        7: b"<< /XObject 8 0 R >>",
+        8: b"<< /Z 12 0 R >>",
+    }
+    heads, body = [], b""
+    for n, b in packed.items():
+        heads.append(b"%d %d" % (n, len(body)))
+        body += b + b" "
+    first = b" ".join(heads) + b" "
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        2: b"<< /Type /Pages /Kids [3 0 R 4 0 R 5 0 R] /Count 3 /Resources << /XObject << /A 10 0 R >> >> >>",
+        6: b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(packed), len(first), zlib.compress(first + body)),
+        10: image(b"\xff\xd8x", b"/Filter /DCTDecode"),
+        11: image(zlib.compress(b"raw"), b"/Filter /FlateDecode"),
+        12: image(b"jp", b"/Filter /JPXDecode"),
+        13: b"<< /Subtype /Form >>\nstream\nq Q\nendstream",
+        14: image(b"unnamed", b""),
+    }
+    d = spark.createDataFrame([("p", _pdf_of(objects))], "path string, content binary")
+    got = [(r.page, r.img_index, r.ext, bytes(r.bytes)) for r in D.pdf_images(d).collect()]
+    assert got == [(1, 0, "raw", b"raw"), (1, 1, "jpg", b"\xff\xd8x"), (2, 0, "jpg", b"\xff\xd8x"), (3, 0, "jp2", b"jp"), (None, 0, "raw", b"unnamed")]
