@@ -469,6 +469,7 @@ def pdf_images(files: DataFrame) -> DataFrame:
             found = [(i, image) for i in pdf.named(body) if (image := pdf.image(i))]
             used.update(i for i, _ in found)
             yield from ((page, n, *image) for n, (_, image) in enumerate(found))
-        yield from ((None, n, *image) for n, image in enumerate(image for i in pdf.objects if i not in used and (image := pdf.image(i))))
+        rest = [pdf.image(i) for i in pdf.objects if i not in used]
+        yield from ((None, n, *image) for n, image in enumerate(filter(None, rest)))
 
     return _rows(files, parse, "page int, img_index int, ext string, bytes binary")
