@@ -93,27 +93,31 @@ def test_fits_take_a_bounded_number_of_rows(spark):
     assert {r.doc_id for r in language.chosen(one_each, 3).collect()} == {r.doc_id for r in toxicity.chosen(one_each, labels, 3).collect()} == least
 
 
+def plain_grams(w):
+    w = "<" + w.strip(".,;:!?()[]\"\u2019\u2018«»*_-'") + ">"
+    parts = {w}
+    for n in (3, 4, 5):
+        parts |= {w[i : i + n] for i in range(len(w) - n + 1)}
+    return [zlib.crc32(p.encode()) % toxicity.BUCKETS for p in parts]
+
+
 def test_toxicity_scores_match_brute_force(spark, documents, corner_docs):
-    """The worst segment: its distinct words' mean n-gram scores over the places of a segment."""
+    """The mean over the n-grams of all distinct words that the dictionary has, a zero vector among them."""
     rng = np.random.default_rng(3)
-    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS), -1.5)
+    numbers = np.where(rng.random(toxicity.BUCKETS) < 0.02, rng.normal(0, 3, toxicity.BUCKETS), np.nan)
+    model = toxicity.Model(numbers, -1.5)
 
     def plain(text):
-        words = (text or "").lower().split()
+        words = set((text or "").lower().split())
         if not words:
             return 0.0
-        k = -(-len(words) // 8)
-        best = None
-        for s in range(k):
-            total = 0.0
-            for w in set(words[s * len(words) // k : (s + 1) * len(words) // k]):
-                w = "<" + w.strip(".,;:!?()[]\"\u2019\u2018«»*_-'") + ">"
-                parts = {w}
-                for n in (3, 4, 5):
-                    parts |= {w[i : i + n] for i in range(len(w) - n + 1)}
-                total += sum(float(model.gram_scores[zlib.crc32(p.encode()) % toxicity.BUCKETS]) for p in parts) / len(parts)
-            best = total / 8 if best is None else max(best, total / 8)
-        return 1 / (1 + np.exp(-(best - 1.5)))
+        total, share = 0.0, 1.0
+        for w in words:
+            own = plain_grams(w)
+            for g in own:
+                if not np.isnan(numbers[g]):
+                    total, share = total + numbers[g] / len(own), share + 1 / len(own)
+        return 1 / (1 + np.exp(1.5 - total / share))
 
     docs = documents.select("doc_id", "text").union(corner_docs.select("doc_id", "text"))
     texts = sorted((r.doc_id is not None, r.doc_id or 0, round(plain(r.text), 4)) for r in docs.collect())
@@ -122,6 +126,31 @@ def test_toxicity_scores_match_brute_force(spark, documents, corner_docs):
     assert np.abs(np.array([g[2] for g in got]) - np.array([t[2] for t in texts])).max() <= 2e-4
 
 
+def test_toxicity_fit_from_tables_is_the_fit_of_its_texts(spark, documents):
+    """Bags, counts and dictionary by Spark against the same in one process; reruns agree."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = sorted((p, r.toxic, r.text) for r, p in ((r, r.p) for r in toxicity.chosen(documents, labels).withColumn("p", F.xxhash64("doc_id", "text")).collect()))
+    here = toxicity.fit([t for _, _, t in rows], np.array([y == 1 for _, y, _ in rows]))
+    one, two = toxicity.fit_from(documents, labels), toxicity.fit_from(documents, labels)
+    assert one.kept.keys() == here.kept.keys() and one.bias == two.bias and one.kept == two.kept
+    assert one.bias == pytest.approx(here.bias, rel=1e-3) and len(one.kept) > 0
+    assert np.allclose([one.kept[k] for k in one.kept], [here.kept[k] for k in one.kept], rtol=1e-2, atol=1e-3)
+
+
+def test_toxicity_bags_and_dictionary_against_plain_counts():
+    for text in (None, "", "a", "Same same, SAME.", "moron  loser\nmoron"):
+        want = {}
+        for w in set((text or "").lower().split()):
+            for g in plain_grams(w):
+                want[g] = want.get(g, 0) + 1 / len(plain_grams(w))
+        at, share = toxicity.bag(text)
+        assert at.tolist() == sorted(want) and np.allclose(share, [want[g] for g in sorted(want)])
+    present = np.zeros((2, toxicity.BUCKETS), int)
+    present[:, 7], present[:, 9], present[:, 11] = (2, 30), (50, 25), (0, 6)
+    assert toxicity.dictionary(present, np.array([100, 50])).tolist() == [7, 11]
+    assert toxicity.dictionary(present * 0, np.array([0, 0])).tolist() == []
+
+
 def test_ftrl_matches_plain_coordinates():
     """Against the update of each coordinate by itself, in plain Python."""
     rng = np.random.default_rng(5)
