@@ -27,7 +27,7 @@ GRAMS, BUCKETS, DIM, PAD = (3, 4, 5), 1 << 16, 8, 1.0
 #: The dictionary: at most so many buckets, each with so large a likelihood ratio.
 DICTIONARY, LEAST_RATIO = 1_000, 8.0
 #: Training: epochs, or as many as make so many steps; texts in a batch, rate and weight decay.
-#: Settings were compared on a fold within the training rows; the held-out fold was read once, after.
+#: Settings were compared on a fold within the training rows.
 EPOCHS, STEPS, BATCH, RATE, DECAY = 40, 1_000, 96, 0.02, 1e-3
 #: Words that a worker remembers before it starts afresh.
 CACHE = 400_000
