@@ -22,26 +22,26 @@ def char_distance(a: Column, b: Column) -> Column:
 MAX_WORDS = 131_000
 
 
+def _signs(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for a, b in it:
+        out = []
+        for x, y in zip(a, b):
+            number: dict[str, int] = {}
+            x, y = ("".join(chr(0xF0000 + number.setdefault(w, len(number))) if len(number) <= MAX_WORDS else "" for w in t.as_py() or []) for t in (x, y))
+            if len(number) > MAX_WORDS:
+                raise ValueError(f"a pair has more than {MAX_WORDS} distinct words")
+            out.append((x, y))
+        yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=["a", "b"])
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Levenshtein over words: a private-use character stands for each distinct word of the pair.
 
-    A pair of more than MAX_WORDS distinct words is an error.
+    Words are numbered in one pass over a pair; an expression would look each one up among all. A pair of more than
+    MAX_WORDS distinct words is an error.
     """
-    ta, tb = tokens(a), tokens(b)
-    words = F.array_distinct(F.concat(ta, tb))
-    # code points of planes 15 and 16, by UTF-8 arithmetic on the word's place
-    sign = lambda w: _private(F.array_position(words, w))
-    distance = F.levenshtein(F.array_join(F.transform(ta, sign), ""), F.array_join(F.transform(tb, sign), ""))
-    return F.when(F.size(words) > MAX_WORDS, F.raise_error(F.lit(f"a pair has more than {MAX_WORDS} distinct words")).cast("int")).otherwise(distance)
-
-
-def _private(n: Column) -> Column:
-    """The n-th character of planes 15 and 16 (n from 1)."""
-    cp = n + 0xF0000 - 1
-    byte = lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")
-    cont = lambda shift: F.lit(0x80) + (F.shiftright(cp.cast("bigint"), shift).bitwiseAND(F.lit(0x3F)))
-    lead = F.lit(0xF0) + F.shiftright(cp.cast("bigint"), 18)
-    return F.decode(F.unhex(F.concat(byte(lead), byte(cont(12)), byte(cont(6)), byte(cont(0)))), "UTF-8")
+    signs = F.arrow_udf(_signs, "struct<a:string,b:string>")(tokens(a), tokens(b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.levenshtein(signs["a"], signs["b"]))
 
 
 def with_distances(df: DataFrame, ref: str = "reference", pred: str = "prediction") -> DataFrame:

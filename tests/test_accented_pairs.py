@@ -83,3 +83,14 @@ def test_alignment_is_that_of_the_whole_matrix():
             if rng.random() < 0.5:
                 b = [x for x in a if rng.random() < 0.8]
             assert metrics.align(a, b) == plain_align(a, b)
+
+
+def test_long_pairs_take_one_pass(spark):
+    """Each word is numbered once; looked up among all words made anew, this pair took over a minute."""
+    import time
+
+    words = [f"w{i}" for i in range(8_000)]
+    d = spark.createDataFrame([(" ".join(words), "w1 w5 other"), (None, "a"), ("a b", "")], "reference string, prediction string")
+    begin = time.time()
+    assert [r[0] for r in d.select(metrics.word_distance(d.reference, d.prediction)).collect()] == [7_998, None, 2]
+    assert time.time() - begin < 30
