@@ -166,14 +166,33 @@ def align(ref: list[str], pred: list[str]) -> list[tuple[str, str, str]]:
     return out[::-1]
 
 
-_ALIGNMENT = pa.list_(pa.struct([("op", pa.string()), ("ref", pa.string()), ("pred", pa.string())]))
+_EDIT = pa.struct([("op", pa.string()), ("ref", pa.string()), ("pred", pa.string())])
+#: Edits that a task holds before it hands them on.
+FLUSH = 1 << 16
+
+
+def _split(level: str):
+    return list if level == "char" else str.split
 
 
 def _aligned(split):
     def run(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in it:
-            rows = [[{"op": o, "ref": x, "pred": y} for o, x, y in align(split(r or ""), split(p or ""))] for r, p in zip(a.to_pylist(), b.to_pylist())]
-            yield pa.array(rows, _ALIGNMENT)
+            done, held, ends = [], [], [0]
+
+            def hand_on():
+                values = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in zip(*held)] if held else [pa.array([], pa.string())] * 3, fields=list(_EDIT))
+                done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+                held.clear()
+                ends[:] = [0]
+
+            for r, p in zip(a, b):
+                held += align(split(r.as_py() or ""), split(p.as_py() or ""))
+                ends.append(len(held))
+                if len(held) >= FLUSH:
+                    hand_on()
+            hand_on()
+            yield pa.concat_arrays(done)
 
     run.__annotations__ = {"it": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<struct<op:string,ref:string,pred:string>>")
@@ -181,22 +200,56 @@ def _aligned(split):
 
 def alignments(df: DataFrame, level: str, ref: str = "reference", pred: str = "prediction") -> DataFrame:
     """Add ``ops``: the alignment of characters or words. Traceback is beyond SQL, so it is an Arrow UDF."""
-    split = list if level == "char" else str.split
-    return df.withColumn("ops", _aligned(split)(F.col(ref), F.col(pred)))
+    return df.withColumn("ops", _aligned(_split(level))(F.col(ref), F.col(pred)))
 
 
 def confusions(df: DataFrame, level: str, keys: list[str] | None = None, ref: str = "reference", pred: str = "prediction") -> DataFrame:
-    """Counts of (op, ref, pred) among the edits."""
-    keys = keys or []
-    ops = alignments(df, level, ref, pred).select(*keys, F.explode("ops").alias("o")).select(*keys, "o.*").where("op <> 'equal'")
-    return ops.groupBy(*keys, "op", "ref", "pred").agg(F.count("*").alias("n")).withColumn("level", F.lit(level))
+    """Counts of (op, ref, pred) among the edits. A task holds FLUSH edits and one alignment at a time, whatever the size of its batches."""
+    keys, split = keys or [], _split(level)
+    columns = df.select(*keys, F.col(ref).alias("_ref"), F.col(pred).alias("_pred"))
+    schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys) + "op string, ref string, pred string"
+
+    def run(batches):
+        for batch in batches:
+            rows, held = [], []
+
+            def handed():
+                of = pa.array(rows, pa.int64())
+                out = pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(keys))), *(pa.array(c, pa.string()) for c in zip(*held))], names=[*keys, "op", "ref", "pred"])
+                rows.clear()
+                held.clear()
+                return out
+
+            for i, (r, p) in enumerate(zip(batch.column(len(keys)), batch.column(len(keys) + 1))):
+                edits = [e for e in align(split(r.as_py() or ""), split(p.as_py() or "")) if e[0] != "equal"]
+                held += edits
+                rows += [i] * len(edits)
+                if len(held) >= FLUSH:
+                    yield handed()
+            if held:
+                yield handed()
+
+    return columns.mapInArrow(run, schema).groupBy(*keys, "op", "ref", "pred").agg(F.count("*").alias("n")).withColumn("level", F.lit(level))
+
+
+def _edit_counts(split):
+    def run(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ops = ("substitute", "delete", "insert")
+        for a, b in it:
+            n = np.zeros((len(a), 3), np.int64)
+            for i, (r, p) in enumerate(zip(a, b)):
+                done = [op for op, _, _ in align(split(r.as_py() or ""), split(p.as_py() or ""))]
+                n[i] = [done.count(op) for op in ops]
+            yield pa.StructArray.from_arrays([pa.array(n[:, i]) for i in range(3)], names=list(ops))
+
+    run.__annotations__ = {"it": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "struct<substitute:bigint,delete:bigint,insert:bigint>")
 
 
 def edit_breakdown(df: DataFrame, level: str, *keys: str, ref: str = "reference", pred: str = "prediction") -> DataFrame:
-    """Sums of substitutions, deletions and insertions."""
-    n = lambda op: F.size(F.filter("ops", lambda o: o["op"] == op))
-    d = alignments(df, level, ref, pred)
-    return d.groupBy(*keys).agg(F.sum(n("substitute")).alias("substitutions"), F.sum(n("delete")).alias("deletions"), F.sum(n("insert")).alias("insertions"))
+    """Sums of substitutions, deletions and insertions; three numbers leave a pair, not its alignment."""
+    d = df.withColumn("_n", _edit_counts(_split(level))(F.col(ref), F.col(pred)))
+    return d.groupBy(*keys).agg(F.sum("_n.substitute").alias("substitutions"), F.sum("_n.delete").alias("deletions"), F.sum("_n.insert").alias("insertions"))
 
 
 def impact(before_words: Column, after_words: Column, before_chars: Column, after_chars: Column) -> Column:

@@ -94,3 +94,16 @@ def test_long_pairs_take_one_pass(spark):
     begin = time.time()
     assert [r[0] for r in d.select(metrics.word_distance(d.reference, d.prediction)).collect()] == [7_998, None, 2]
     assert time.time() - begin < 30
+
+
+def test_edits_leave_tasks_one_by_one(spark, folder):
+    """Counts by keys (null ones too) are those of the plain alignment; no row carries a whole alignment, of which a batch held thousands."""
+    d = spark.createDataFrame([("x", "a b c", "a d"), ("x", "a b", "a d"), (None, None, "a"), (None, "", "")], "k string, reference string, prediction string")
+    got = metrics.confusions(d, "word", ["k"])
+    want = Counter((r.k, *e) for r in d.collect() for e in plain_align((r.reference or "").split(), r.prediction.split()) if e[0] != "equal")
+    assert {(r.k, r.op, r.ref, r.pred): r.n for r in got.collect()} == want and {r.level for r in got.collect()} == {"word"}
+    for df in (got, metrics.edit_breakdown(d, "word", "k")):
+        plan = df._jdf.queryExecution().analyzed().treeString()
+        assert "explode" not in plan and "filter(" not in plan
+    one = metrics.alignments(d, "char").collect()
+    assert [[tuple(o) for o in r.ops] for r in one] == [plain_align(r.reference or "", r.prediction) for r in one]
