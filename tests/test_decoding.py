@@ -35,3 +35,13 @@ def test_visual_order():
     assert visual_order("سلام abc") == "abc مالس"
     assert visual_order("(א)") == "(א)"
     assert visual_order("") == ""
+
+
+def test_equal_prefixes_go_by_symbols():
+    """Paths of one probability, summed in different orders, differ in their last bits; that isn't an order."""
+    rows = [[0.1, 0.2, 0.2, 0.3], [0.3, 0.1, 0.1, 0.7], [0.2, 0.3, 0.3, 0.1], [0.7, 0.1, 0.1, 0.3], [0.1, 0.6, 0.6, 0.2], [0.3, 0.7, 0.7, 0.1]]
+    got = decoding.prefix_beam_search([[math.log(p) for p in r] for r in rows], beam=8)
+    assert len(got) == 8 and [k for k, _ in got] == [k for k, _ in sorted(got, key=lambda x: (-round(x[1], 9), x[0]))]
+    frame = [[math.log(p) for p in (0.2, 0.4, 0.4)]]
+    near = [[frame[0][0], frame[0][1], frame[0][2] + 1e-13]]  # symbol 2 is above by a last bit only
+    assert [k for k, _ in decoding.prefix_beam_search(near, beam=2)] == [(1,), (2,)]
