@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..operators import images
-from .registry import query, table
+from .registry import query, spread, table
 
 #: Levels of paper and ink as characters, so that rows of pixels can be built by text functions.
 PAPER, INK = "~", " "
@@ -41,7 +41,7 @@ def snk06_png_round_trip(spark, sf_dir):
 
 def _boxes(spark, sf_dir):
     """A page for each part with one dark box: its place and size come from the part's numbers."""
-    d = table(spark, sf_dir, "part").selectExpr("p_partkey", "60 + p_partkey % 41 AS width", "40 + p_partkey % 29 AS height", "p_partkey % 30 AS x", "p_partkey % 20 AS y", "1 + p_size % 30 AS w", "1 + p_size % 17 AS h")
+    d = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr("p_partkey", "60 + p_partkey % 41 AS width", "40 + p_partkey % 29 AS height", "p_partkey % 30 AS x", "p_partkey % 20 AS y", "1 + p_size % 30 AS w", "1 + p_size % 17 AS h")
     blank = _many(PAPER, "width")
     row = F.concat(_many(PAPER, "x"), _many(INK, "w"), _many(PAPER, "width - x - w"))
     page = F.concat(F.repeat(blank, F.col("y").cast("int")), F.repeat(row, F.col("h").cast("int")), F.repeat(blank, (F.col("height") - F.col("y") - F.col("h")).cast("int")))
@@ -70,8 +70,7 @@ def img01_resized(spark, sf_dir):
 def _measured(done):
     """The prepared images decoded again: size and sum of levels."""
     px = images.decoded(done.select("path", "content"))
-    levels = F.aggregate(F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda i: F.conv(F.hex(F.substring("pixels", i, F.lit(1))), 16, 10).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
-    return px.select(F.col("path").cast("bigint").alias("partkey"), "width", "height", levels.alias("levels"))
+    return px.select(F.col("path").cast("bigint").alias("partkey"), "width", "height", images.levels(F.col("pixels")).alias("levels"))
 
 
 _GREY = "list_sum(list_transform(range(n), lambda i: (19595 * ascii(name[3 * i + 1]) + 38470 * ascii(name[3 * i + 2]) + 7471 * ascii(name[3 * i + 3]) + 32768) >> 16))"
@@ -83,7 +82,7 @@ s AS (SELECT *, n + 2 * greatest(2, CAST(round(n * 0.08) AS BIGINT)) AS side FRO
 SELECT p_partkey AS partkey, CAST(side AS INTEGER) AS width, CAST(side AS INTEGER) AS height, CAST((side * side - n) * 255 + {_GREY} AS BIGINT) AS levels FROM s""")
 def img01_grey_square(spark, sf_dir):
     """Names as rows of coloured pixels, in the middle of a white square, in grey."""
-    d = table(spark, sf_dir, "part").select("p_partkey", F.rpad("p_name", (F.ceil(F.length("p_name") / 3) * 3).cast("int"), F.lit(" ")).cast("binary").alias("pixels"))
+    d = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", F.rpad("p_name", (F.ceil(F.length("p_name") / 3) * 3).cast("int"), F.lit(" ")).cast("binary").alias("pixels"))
     d = d.withColumn("width", (F.length("pixels") / 3).cast("int")).withColumn("height", F.lit(1)).withColumn("channels", F.lit(3))
     return _measured(images.prepared(_files(d, "p_partkey"), ("square", 0.08), ("grey",)))
 

@@ -189,3 +189,33 @@ def test_local_contrast_query(spark):
         b = texts[key].ljust(max(1, -(-len(texts[key]) // 64)) * 64)
         g = np.frombuffer(b, np.uint8).reshape(-1, 64)
         assert got[key] == hashlib.sha256(plain_contrast(g, 2.0, 8).tobytes()).hexdigest()
+
+
+def test_rows_without_average_or_paeth_are_taken_at_once():
+    """Rows of no filter, left and above in any order, against the step from row to row."""
+    rng = np.random.default_rng(1)
+    for c in (1, 2, 3, 4):
+        for h in (1, 2, 9, 40):
+            rows = np.concatenate([rng.integers(0, 3, (h, 1), dtype=np.uint8), rng.integers(0, 256, (h, 7 * c), dtype=np.uint8)], 1)
+            assert np.array_equal(png._simple(rows, c), png._unfiltered(rows, c))
+
+
+def test_files_share_batches(spark):
+    """Results leave a task by size, not one batch a file; a torn file among them is an error of its own."""
+    from quillspark.sources import documents
+
+    files = spark.createDataFrame([(str(i), b"PK" if i == 7 else png.encode(np.full((2, 3), i, np.uint8))) for i in range(50)], "path string, content binary").coalesce(1)
+    got = images.decoded(files)
+    sizes = got.mapInArrow(lambda batches: (__import__("pyarrow").RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect()
+    assert [r.n for r in sizes] == [50]
+    rows = {int(r.path): r for r in got.collect()}
+    assert rows[7].error and rows[7].width is None and all(rows[i].error is None and bytes(rows[i].pixels) == bytes([i]) * 6 for i in range(50) if i != 7)
+    assert [r.n for r in got.where("error IS NULL").select(images.levels(got.pixels).alias("n")).collect()] == [6 * i for i in range(50) if i != 7]
+
+
+def test_images_of_a_small_table_are_dealt_to_tasks(spark):
+    """One split holds all parts and customers; the work on them must not stay in its task."""
+    from quillspark.plans import formats
+
+    for files in (formats._pdfs(spark, SF), __import__("quillspark.plans.images", fromlist=["_boxes"])._boxes(spark, SF)):
+        assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
