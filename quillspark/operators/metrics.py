@@ -83,7 +83,9 @@ def plain_metrics(df: DataFrame, *keys: str) -> DataFrame:
 def by_dimensions(df: DataFrame, dimensions: list[str], aggregates: dict[str, str], medians: dict[str, str] | None = None) -> DataFrame:
     """``dimension, value``, aggregates and exact medians (SQL expressions) for each dimension by itself and overall.
 
-    Aggregates take one pass; each median takes its own, by refinement (``ranges.quantiles``).
+    Aggregates take one pass; each median takes its own, by refinement (``ranges.quantiles``)
+    over the counts of its values and all dimensions together, which are written once: rows are
+    neither dealt to every dimension nor read again by each refinement.
     """
     of = lambda cases, rest: reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])).otherwise(rest) if cases else rest
     used = lambda d: F.grouping(d) == 0
@@ -96,8 +98,9 @@ def by_dimensions(df: DataFrame, dimensions: list[str], aggregates: dict[str, st
     out = out.select("dimension", "value", *aggregates)
     views = [F.struct(F.lit("overall").alias("d"), F.lit(None).cast("string").alias("v")), *(F.struct(F.lit(d).alias("d"), F.col(d).cast("string").alias("v")) for d in dimensions)]
     for name, e in (medians or {}).items():
-        long = df.select(F.expr(e).alias("x"), F.explode(F.array(*views)).alias("view")).select("x", F.col("view.d").alias("d"), F.col("view.v").alias("v"))
-        got = ranges.quantiles(long, "x", (0.5,), ("d", "v")).select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("q")[0].alias(name))
+        counts = ranges.kept(df.select(F.expr(e).alias("_x"), *dimensions).where("_x IS NOT NULL").groupBy("_x", *dimensions).agg(F.count(F.lit(1)).alias("_n")))
+        long = counts.select("_x", "_n", F.explode(F.array(*views)).alias("view")).select("_x", "_n", F.col("view.d").alias("d"), F.col("view.v").alias("v"))
+        got = ranges.quantiles(long, "_x", (0.5,), ("d", "v"), weight="_n").select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("q")[0].alias(name))
         out = out.join(got, F.col("dimension").eqNullSafe(F.col("_d")) & F.col("value").eqNullSafe(F.col("_v")), "left").drop("_d", "_v")
     return out
 

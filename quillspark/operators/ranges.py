@@ -66,7 +66,7 @@ def running_best(df: DataFrame, order: list[Column], loss: str, parts: int | Non
 BINS = 4096
 
 
-def quantiles(df: DataFrame, value: str, at: tuple[float, ...], keys: tuple[str, ...] = (), bins: int = BINS) -> DataFrame:
+def quantiles(df: DataFrame, value: str, at: tuple[float, ...], keys: tuple[str, ...] = (), bins: int = BINS, weight: str | None = None) -> DataFrame:
     """Exact linear quantiles of each group: the keys, ``n_values``, ``least``, ``most`` and ``q``, an array beside ``at``.
 
     Selection by refinement. A pass counts values by bins of the ranges still in
@@ -74,13 +74,13 @@ def quantiles(df: DataFrame, value: str, at: tuple[float, ...], keys: tuple[str,
     bin, whose values are the next range. Ranges of one value are done. All groups and
     all places advance together, groups combine before they travel, and a task holds
     counts only. Nulls don't count; NaN is the greatest value; groups with null keys
-    are groups. Passes are few: values that spread evenly need the logarithm of their
+    are groups. A row counts ``weight`` times, if given. Passes are few: values that spread evenly need the logarithm of their
     range to the base ``bins``.
     """
     spark, names = df.sparkSession, [f"_k{i}" for i in range(len(keys))]
-    v = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    v = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w")).where("_v IS NOT NULL")
     finite = F.when(~F.isnan("_v") & (F.abs("_v") < float("inf")), F.col("_v"))
-    facts = [F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.min(finite).alias("flo"), F.max(finite).alias("fhi")]
+    facts = [F.coalesce(F.sum("_w"), F.lit(0)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.min(finite).alias("flo"), F.max(finite).alias("fhi")]
     groups = kept(v.groupBy(*names).agg(*facts))
     place = lambda p, up: (F.ceil if up else F.floor)(F.lit(p) * (F.col("n") - 1)).cast("bigint")
     wanted = F.array_distinct(F.array(*(place(p, up) for p in at for up in (False, True))))
@@ -97,7 +97,7 @@ def quantiles(df: DataFrame, value: str, at: tuple[float, ...], keys: tuple[str,
         inside = F.when(F.col("flo") < F.col("fhi"), F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(0)
         number = F.when(F.isnan("_v"), bins + 1).when(F.col("_v") == float("inf"), bins).when(F.col("_v") == float("-inf"), -1).otherwise(inside)
         # without keys there is one group, and its ranges are as many as the places at most
-        joined = v.join(s if names else F.broadcast(s), mine).select(*names, "_v", "s_lo", "below", "places", number.alias("bin"))
+        joined = v.join(s if names else F.broadcast(s), mine).select(*names, "_v", "_w", "s_lo", "below", "places", number.alias("bin"))
         counts = joined.groupBy(*names, "s_lo", "bin").agg(*facts, F.first("below").alias("below"), F.first("places").alias("places"))
         upto = Window.partitionBy(*names, "s_lo").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         counts = counts.withColumn("below", F.col("below") + F.sum("n").over(upto) - F.col("n"))

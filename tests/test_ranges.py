@@ -208,3 +208,21 @@ def test_suffix_matches_of_one_basename_in_many_folders(spark):
     rows = spark.createDataFrame([("d77/1.png",), ("set3/D13/1.PNG",), ("root/set5/d5/1.png",), ("1.png",), ("77/1.png",), (None,), ("",), ("x/2.png",)], "image string")
     got = {r.image: r.resolved for r in manifests.resolve_paths(rows, files).collect()}
     assert got == {"d77/1.png": "root/set7/d77/1.png", "set3/D13/1.PNG": "root/set3/d13/1.png", "root/set5/d5/1.png": "root/set5/d5/1.png", "1.png": "root/set0/d0/1.png", "77/1.png": None, None: None, "": None, "x/2.png": None}
+
+
+def test_medians_go_over_counts_of_values(spark, monkeypatch):
+    """Refinement sees each value once for its dimensions, however many rows have it; null and repeated ones count as rows do."""
+    import statistics
+
+    from quillspark.operators import metrics, ranges
+
+    rows = [("a" if i % 3 else None, "x" if i % 2 else "y", None if i % 11 == 0 else i % 7) for i in range(2_000)]
+    d = spark.createDataFrame(rows, "g string, h string, v int")
+    seen, plain = [], ranges.quantiles
+    monkeypatch.setattr(ranges, "quantiles", lambda df, *a, **k: (seen.append(df.count()), plain(df, *a, **k))[1])
+    got = {(r.dimension, r.value): r.m for r in metrics.by_dimensions(d, ["g", "h"], {"n": "count(*)"}, {"m": "v"}).collect()}
+    want = {("overall", None): statistics.median(v for _, _, v in rows if v is not None)}
+    for i, name in enumerate("gh"):
+        for k in {r[i] for r in rows}:
+            want[name, k] = statistics.median(r[2] for r in rows if r[i] == k and r[2] is not None)
+    assert got == want and seen == [3 * 2 * 2 * 7]
