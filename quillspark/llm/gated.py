@@ -9,6 +9,8 @@ frequency, into parts of equal mass of the frequencies' square roots.
 Training is truncated backpropagation through STEPS symbols, with the state carried
 from one window to the next. Scoring carries it through the whole text. Many texts
 are read side by side, in lanes; a lane's state is cleared where a text begins.
+`fit` finds first weights on some texts; `passed` moves weights by one pass over others,
+so that copies moved by different texts can be averaged.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from .common import ragged
 WORDS, CLASSES, WIDTH = 4_094, 64, 32
 #: Training: symbols that a gradient passes through, texts side by side (fewer where a pass would have under 64 windows), passes at most, rate, the largest norm of a gradient.
 STEPS, LANES, PASSES, RATE, CLIP = 16, 128, 4, 1e-2, 1.0
+#: A pass of weights that are to be averaged: texts side by side.
+BROAD = 512
 #: Scoring: texts side by side, symbols of each between two outputs.
 WIDE, WINDOW = 256, 64
+#: Rows whose classes' logits are taken at once, which fit a cache.
+ROWS = 1024
 
 
 def classes(counts: np.ndarray, k: int = CLASSES) -> np.ndarray:
@@ -35,15 +41,34 @@ def classes(counts: np.ndarray, k: int = CLASSES) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; exp may overflow, to a sigmoid of 0."""
     np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
+    np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, bounded: bool) -> np.ndarray:
+    """Logits that ``exp`` takes without overflow or a row of zeros; bounded ones have a bias that saw to it."""
+    x = h @ weights
+    x += bias
+    if not bounded:
+        x -= x.max(1, keepdims=True)
+    return x
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
+
+
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row at one place."""
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 class Network:
@@ -66,23 +91,43 @@ class Network:
         """What each symbol adds to the gates."""
         return self.p["E"] @ self.p["W"] + self.p["b"]
 
+    def flat(self) -> np.ndarray:
+        """All parameters as one vector."""
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def put(self, flat: np.ndarray) -> None:
+        """Take all parameters from one vector."""
+        parts = np.split(flat, np.cumsum([v.size for v in self.p.values()])[:-1])
+        self.p = {k: x.reshape(v.shape).astype(v.dtype) for (k, v), x in zip(self.p.items(), parts, strict=True)}
+
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target after each state."""
-        out = np.zeros(len(h))
-        cls = self.class_of[target]
-        logits = h @ self.p["C"] + self.p["c"]
-        top = logits.max(1)
-        out += logits[np.arange(len(h)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-        ranked = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[ranked], np.arange(len(self.bounds)))
+        ranked, edges = self.by_class(target)
+        h, target = h[ranked], target[ranked]
+        out = np.empty(len(h))
+        cls, bias, own_bias, bounded = self.class_of[target], *self.biases()
+        for a in range(0, len(h), ROWS):
+            out[a : a + ROWS] = _log_share(_logits(h[a : a + ROWS], self.p["C"], bias, bounded), cls[a : a + ROWS])
         for k in range(len(self.bounds) - 1):
-            rows = ranked[edges[k] : edges[k + 1]]
+            rows = slice(edges[k], edges[k + 1])
             a, b = self.bounds[k], self.bounds[k + 1]
-            if len(rows) and b > a + 1:
-                x = h[rows] @ self.p["O"][a:b].T + self.p["o"][a:b]
-                top = x.max(1)
-                out[rows] += x[np.arange(len(rows)), target[rows] - a] - top - np.log(np.exp(x - top[:, None]).sum(1))
-        return out
+            if edges[k + 1] > edges[k] and b > a + 1:
+                out[rows] += _log_share(_logits(h[rows], self.p["O"][a:b].T, own_bias[a:b], bounded), target[rows] - a)
+        placed = np.empty_like(out)
+        placed[ranked] = out
+        return placed
+
+    def biases(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Biases of classes, and of symbols in their class, less the largest; whether logits then stay within 60 of it, as states lie in -1 to 1."""
+        c, o = self.p["c"], self.p["o"]
+        most = max(np.abs(self.p["C"]).sum(0).max(), np.abs(self.p["O"]).sum(1).max())
+        return c - c.max(), o - np.repeat(np.maximum.reduceat(o, self.bounds[:-1]), np.diff(self.bounds)), bool(most < 60)
+
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of targets by class, and where each class begins in it."""
+        cls = self.class_of[target]
+        ranked = np.argsort(cls, kind="stable")
+        return ranked, np.searchsorted(cls[ranked], np.arange(len(self.bounds)))
 
 
 def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,79 +181,167 @@ def text_log_probs(net: Network, ids: np.ndarray, off: np.ndarray, end: int) ->
     state = np.zeros((WIDE, w), np.float32)
     for place, left in Streams(off, WIDE).windows(WINDOW):
         x, fresh = prev[place], begins[place]
-        out = np.zeros((len(left), place.shape[1], w), np.float32)
-        for t, n in enumerate(left):
-            h = state[:n]
-            h[fresh[t, :n]] = 0
-            g, q = table[x[t, :n]], h @ u
-            gates = _sigmoid(g[:, : 2 * w] + q[:, : 2 * w])
-            new = np.tanh(g[:, 2 * w :] + gates[:, w:] * q[:, 2 * w :])
-            h -= new
-            h *= gates[:, :w]
-            h += new
-            out[t, :n] = h
+        out = np.empty((len(left), place.shape[1], w), np.float32)
+        with np.errstate(over="ignore"):
+            for t, n in enumerate(left):
+                h = state[:n]
+                h[fresh[t, :n]] = 0
+                g, q = table[x[t, :n]], h @ u
+                gates = g[:, : 2 * w] + q[:, : 2 * w]
+                _sigmoid(gates)
+                new = np.multiply(gates[:, w:], q[:, 2 * w :])
+                new += g[:, 2 * w :]
+                np.tanh(new, out=new)
+                h -= new
+                h *= gates[:, :w]
+                h += new
+                out[t, :n] = h
         live = np.arange(place.shape[1]) < left[:, None]
         at = place[live]
         each[at] = net.log_probs(out[live], ids[at])
     return np.add.reduceat(np.append(each, 0.0), off[:-1]) * (np.diff(off) > 0)
 
 
-def _gradients(net: Network, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, live: np.ndarray, state: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss over one window of (step, lane); ``state`` moves on."""
+class Room:
+    """Arrays that windows of one size use again."""
+
+    def __init__(self, steps: int, n: int, w: int, kind: np.dtype) -> None:
+        self.q, self.dx, self.dq = (np.zeros((steps, n, 3 * w), kind) for _ in range(3))
+        self.gates, self.start, self.new, self.after, self.dout = (np.zeros((steps, n, k * w), kind) for k in (2, 1, 1, 1, 1))
+        self.d: dict[str, np.ndarray] = {}
+
+
+def _gradients(net: Network, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, live: np.ndarray, state: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss over one window of (step, lane); ``state`` moves on. Lanes that are left come first. Another window in the same ``room`` overwrites them."""
     p, w, (steps, n) = net.p, net.width, x.shape
-    kept, h = [], state
-    for t in range(steps):
-        h = np.where(fresh[t][:, None], 0, h)
-        g, q = p["E"][x[t]] @ p["W"] + p["b"], h @ p["U"]
-        gates = _sigmoid(g[:, : 2 * w] + q[:, : 2 * w])
-        new = np.tanh(g[:, 2 * w :] + gates[:, w:] * q[:, 2 * w :])
-        after = new + gates[:, :w] * (h - new)
-        kept.append((h, gates, new, q[:, 2 * w :]))
-        h = np.where(live[t][:, None], after, h)
-        kept[-1] += (after,)
-    state[:] = h
+    left, kind = live.sum(1), p["E"].dtype
+    if room is None or room.q.shape[:2] != (steps, n):
+        room = Room(steps, n, w, kind)
+    if left[-1] < n:
+        for a in (room.start, room.dx, room.dq):
+            a[:] = 0
+    used, symbol = np.unique(x, return_inverse=True)
+    symbol = symbol.ravel()
+    into = (p["E"][used] @ p["W"] + p["b"])[symbol].reshape(steps, n, 3 * w)
+    with np.errstate(over="ignore"):
+        for t, k in enumerate(left):
+            h, q, g, c, g0 = room.start[t, :k], room.q[t, :k], room.gates[t, :k], room.new[t, :k], into[t, :k]
+            h[:] = (room.after[t - 1] if t else state)[:k]
+            h[fresh[t, :k]] = 0
+            np.matmul(h, p["U"], out=q)
+            np.add(g0[:, : 2 * w], q[:, : 2 * w], out=g)
+            _sigmoid(g)
+            np.multiply(g[:, w:], q[:, 2 * w :], out=c)
+            c += g0[:, 2 * w :]
+            np.tanh(c, out=c)
+            a = room.after[t, :k]
+            np.subtract(h, c, out=a)
+            a *= g[:, :w]
+            a += c
+            state[:k] = a
+    # rows by class, so that a class's rows are neighbours
     rows = np.flatnonzero(live.ravel())
-    out = np.concatenate([k[4] for k in kept])[rows]
     target = y.ravel()[rows]
-    d = {name: np.zeros_like(v) for name, v in p.items()}
-    dout = np.zeros((steps * n, w), np.float32)
-    cls = net.class_of[target]
-    e = np.exp(_log_softmax(out @ p["C"] + p["c"]))
-    e[np.arange(len(rows)), cls] -= 1
-    d["C"], d["c"], own = out.T @ e, e.sum(0), e @ p["C"].T
-    ranked = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[ranked], np.arange(len(net.bounds)))
-    for k in range(len(net.bounds) - 1):
-        mine = ranked[edges[k] : edges[k + 1]]
-        a, b = net.bounds[k], net.bounds[k + 1]
-        if len(mine) and b > a + 1:
-            e = np.exp(_log_softmax(out[mine] @ p["O"][a:b].T + p["o"][a:b]))
-            e[np.arange(len(mine)), target[mine] - a] -= 1
-            d["O"][a:b], d["o"][a:b] = e.T @ out[mine], e.sum(0)
+    ranked, edges = net.by_class(target)
+    out, target = room.after.reshape(-1, w)[rows[ranked]], target[ranked]
+    for name, v in p.items():
+        if name not in room.d:
+            room.d[name] = np.empty_like(v)
+        room.d[name][:] = 0
+    d, own, cls = room.d, np.empty_like(out), net.class_of[target]
+    bias, own_bias, bounded = net.biases()
+    back = np.ascontiguousarray(p["C"].T)
+    for a in range(0, len(rows), ROWS):
+        mine = slice(a, a + ROWS)
+        e = _softmax(_logits(out[mine], p["C"], bias, bounded))
+        e[np.arange(len(e)), cls[mine]] -= 1
+        d["C"] += out[mine].T @ e
+        d["c"] += np.ones(len(e), kind) @ e
+        np.matmul(e, back, out=own[mine])
+    for i in range(len(net.bounds) - 1):
+        mine = slice(edges[i], edges[i + 1])
+        a, b = net.bounds[i], net.bounds[i + 1]
+        if edges[i + 1] > edges[i] and b > a + 1:
+            e = _softmax(_logits(out[mine], p["O"][a:b].T, own_bias[a:b], bounded))
+            e[np.arange(len(e)), target[mine] - a] -= 1
+            np.matmul(e.T, out[mine], out=d["O"][a:b])
+            d["o"][a:b] = np.ones(len(e), kind) @ e
             own[mine] += e @ p["O"][a:b]
-    dout[rows] = own
-    dout = dout.reshape(steps, n, w)
-    dh, dgates = np.zeros((n, w), np.float32), np.zeros((steps, n, 3 * w), np.float32)
+    if len(rows) < steps * n:
+        room.dout[:] = 0
+    room.dout.reshape(-1, w)[rows[ranked]] = own
+    dh, back = np.zeros((n, w), kind), np.ascontiguousarray(p["U"].T)
     for t in reversed(range(steps)):
-        h0, gates, new, q = kept[t][:4]
-        z, r = gates[:, :w], gates[:, w:]
-        dh = np.where(live[t][:, None], dh, 0) + dout[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz, dr = dh * (h0 - new) * z * (1 - z), dnew * q * r * (1 - r)
-        dgates[t] = np.concatenate([dz, dr, dnew], 1)
-        dq = np.concatenate([dz, dr, dnew * r], 1)
-        d["U"] += h0.T @ dq
-        dh = np.where(fresh[t][:, None], 0, dh * z + dq @ p["U"].T)
-    flat, sym = dgates.reshape(-1, 3 * w)[rows], x.ravel()[rows]
-    d["b"], d["W"], de = flat.sum(0), p["E"][sym].T @ flat, flat @ p["W"].T
-    ranked = np.argsort(sym, kind="stable")
-    used, first = np.unique(sym[ranked], return_index=True)
-    d["E"][used] = np.add.reduceat(de[ranked], first)
+        k = left[t]
+        g, h, c, dx, dq = room.gates[t, :k], room.start[t, :k], room.new[t, :k], room.dx[t, :k], room.dq[t, :k]
+        z, r, dk = g[:, :w], g[:, w:], dh[:k]
+        dk += room.dout[t, :k]
+        keep = dk * z
+        h = h - c
+        h *= keep
+        dk -= keep
+        one = 1 - g
+        np.multiply(h, one[:, :w], out=dx[:, :w])
+        c *= c
+        np.subtract(1, c, out=c)
+        c *= dk
+        dx[:, 2 * w :] = c
+        c *= r
+        dq[:, 2 * w :] = c
+        c *= room.q[t, :k, 2 * w :]
+        c *= one[:, w:]
+        dx[:, w : 2 * w] = c
+        dq[:, : 2 * w] = dx[:, : 2 * w]
+        np.matmul(dq, back, out=dk)
+        dk += keep
+        dk[fresh[t, :k]] = 0
+    dx = room.dx.reshape(-1, 3 * w)
+    d["U"][:], d["b"][:] = room.start.reshape(-1, w).T @ room.dq.reshape(-1, 3 * w), np.ones(len(dx), kind) @ dx
+    d["W"][:] = p["E"][x.ravel()].T @ dx
+    ranked = np.argsort(symbol.astype(np.int16) if len(used) < 1 << 15 else symbol, kind="stable")
+    d["E"][used] = np.add.reduceat((dx @ p["W"].T)[ranked], np.searchsorted(symbol[ranked], np.arange(len(used))))
     for v in d.values():
         v /= max(1, len(rows))
     return d
 
 
+class Adam:
+    """Moments of the gradients."""
+
+    def __init__(self, net: Network) -> None:
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
+        self.step = 0
+
+    def move(self, net: Network, grads: dict[str, np.ndarray], rate: float) -> None:
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        self.step += 1
+        for k, g in grads.items():
+            if norm > CLIP:
+                g *= CLIP / norm
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.005 * (g * g - self.v[k])
+            net.p[k] -= (rate / (1 - 0.9**self.step) * np.sqrt(1 - 0.995**self.step)) * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+
+
+def _one_pass(net: Network, adam: Adam, prev: np.ndarray, begins: np.ndarray, ids: np.ndarray, off: np.ndarray, most: int, rate: float) -> None:
+    """Every symbol once, ``most`` texts side by side or fewer, so that there are at least 64 windows."""
+    side = max(8, min(most, len(ids) // (64 * STEPS)))
+    state, room = np.zeros((side, net.width), np.float32), None
+    for place, left in Streams(off, side).windows(STEPS):
+        if room is None or room.q.shape[:2] != place.shape:
+            room = Room(*place.shape, net.width, state.dtype)
+        live = np.arange(place.shape[1]) < left[:, None]
+        adam.move(net, _gradients(net, prev[place], begins[place], ids[place], live, state[: place.shape[1]], room), rate)
+
+
+def passed(net: Network, prev: np.ndarray, ids: np.ndarray, off: np.ndarray, rate: float) -> None:
+    """Move the weights by one pass over all symbols of these texts, each after the symbol ``prev`` before it."""
+    if len(ids):
+        begins = np.zeros(len(ids), bool)
+        begins[off[:-1][np.diff(off) > 0]] = True
+        _one_pass(net, Adam(net), prev, begins, ids, off, BROAD, rate)
+
+
 def fit(counts: np.ndarray, ids: np.ndarray, off: np.ndarray, end: int, seed: int = 0) -> Network:
     """Train on texts of symbols; one in ten is held back, and the pass that scores it best is kept."""
     net = Network(counts, seed)
@@ -219,24 +352,10 @@ def fit(counts: np.ndarray, ids: np.ndarray, off: np.ndarray, end: int, seed: in
     part = lambda keep: (ids[ragged(off[:-1][keep], lengths[keep])], np.concatenate([[0], np.cumsum(lengths[keep])]))
     (train, t_off), (held, h_off) = part(~back), part(back)
     prev, begins = before(train, t_off, end)
-    m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
-    best, kept, step = text_log_probs(net, held, h_off, end).sum(), {k: x.copy() for k, x in net.p.items()}, 0
-    side = max(8, min(LANES, len(train) // (64 * STEPS)))
+    adam = Adam(net)
+    best, kept = text_log_probs(net, held, h_off, end).sum(), {k: x.copy() for k, x in net.p.items()}
     for epoch in range(PASSES):
-        streams = Streams(t_off, side)
-        state = np.zeros((side, net.width), np.float32)
-        rate = RATE * 0.7**epoch
-        for place, left in streams.windows(STEPS):
-            live = np.arange(place.shape[1]) < left[:, None]
-            grads = _gradients(net, prev[place], begins[place], train[place], live, state[: place.shape[1]])
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            step += 1
-            for k, g in grads.items():
-                if norm > CLIP:
-                    g *= CLIP / norm
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.005 * (g * g - v[k])
-                net.p[k] -= (rate / (1 - 0.9**step) * np.sqrt(1 - 0.995**step)) * m[k] / (np.sqrt(v[k]) + 1e-8)
+        _one_pass(net, adam, prev, begins, train, t_off, LANES, RATE * 0.7**epoch)
         now = text_log_probs(net, held, h_off, end).sum()
         if now <= best:
             break

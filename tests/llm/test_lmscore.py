@@ -157,3 +157,64 @@ def test_pieces_cover_texts_and_are_bounded(spark):
     every = lmscore.pieces(docs, 1000)
     assert sum(len(p) for p, _, _ in every) == 30 * 15_000 and sum(last for *_, last in every) == 31
     assert len(lmscore.pieces(docs, 25)) == 25
+
+
+def test_pieces_of_symbols_join_to_their_texts():
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 2500, 1024, 1, 1025, 3])
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    ids = rng.integers(0, 60_000, off[-1]).astype(np.int32)
+    lists = lmscore.cut(ids, sizes, 5, np.dtype("<u2"))
+    assert lists.value_lengths().to_pylist() == [1, 3, 1, 1, 2, 1]
+    prev, own, bounds = lmscore.joined(lists.slice(1).flatten(), np.dtype("<u2"))
+    assert (own == ids[1:]).all() and (prev == gated.before(ids, off, 5)[0][1:]).all()
+    assert np.diff(bounds).tolist() == [1024, 1024, 452, 1024, 1, 1024, 1, 3]
+
+
+def test_weights_learn_from_texts_outside_the_drawn_pieces(documents):
+    """One text's words in another order: no drawn piece and no count changes, but the weights do."""
+    train = documents.where(lmscore.training()).select("doc_id", "text")
+    drawn = lmscore.pieces(train, 5)
+    texts = {r.doc_id: r.text for r in train.collect()}
+    turned = 0
+    for i in sorted(i for i, t in texts.items() if t and 50 < len(set(t.split())) and len(t) < 4_000):
+        other = " ".join(reversed(texts[i].split()))
+        changed = train.selectExpr("doc_id", f"if(doc_id = {i}, '{other.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}', text) AS text")
+        if lmscore.pieces(changed, 5) == drawn:
+            turned = changed
+            break
+    nets = [lmscore.fitted(d, lmscore.token_counts(d), max_pieces=5, words=300).net for d in (train, turned)]
+    assert all((nets[0].bounds == nets[1].bounds).tolist()) and not np.allclose(nets[0].p["U"], nets[1].p["U"], atol=1e-7)
+
+
+def test_rounds_average_what_slices_learn_from_every_symbol(documents, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lmscore, "SLICE", 5_000)
+    monkeypatch.setattr(lmscore, "SIDE", 2)
+    monkeypatch.setattr(lmscore, "ROUNDS", 2)
+    counts = lmscore.token_counts(documents.where(lmscore.training()))
+    model = lmscore.Model(lmscore.Statistics(counts, documents.where(lmscore.training()).count()), [], words=300)
+    scratch = lmscore.Scratch()
+    part = scratch.durable(lmscore.partial_scores(documents, model))
+    want = model.net.flat()
+    slices = -(-model.total // 5_000)
+    side = -(-slices // 2)
+    assert side > 1
+    rows = part.where("NOT held_out").select("key", F.posexplode("symbols").alias("place", "piece"))
+    rows = rows.withColumn("slice", F.expr(f"pmod(xxhash64(key, place), {2 * side})")).orderBy("key", "place").collect()
+    seen, net = 0, gated.Network(np.ones(model.net.p["o"].size))
+    net.bounds, net.class_of, net.p = model.net.bounds, model.net.class_of, {k: v.copy() for k, v in model.net.p.items()}
+    for r, rate in enumerate((2e-3 * 2.5**0.5, 2e-3)):
+        total, weight = 0, 0
+        for s in range(r * side, (r + 1) * side):
+            net.put(want)
+            own = [np.frombuffer(bytes(x.piece), model.kind).astype(np.int32) for x in rows if x.slice == s]
+            off = np.concatenate([[0], np.cumsum([len(x) - 1 for x in own])])
+            gated.passed(net, np.concatenate([x[:-1] for x in own]), np.concatenate([x[1:] for x in own]), off, rate)
+            total, weight = total + off[-1] * net.flat().astype(np.float64), weight + off[-1]
+        want, seen = (total / weight).astype(np.float32), seen + weight
+    assert seen == model.total
+    lmscore.learned(part, model, scratch)
+    scratch.drop()
+    assert np.allclose(model.net.flat(), want, atol=1e-4)
