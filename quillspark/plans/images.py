@@ -118,7 +118,7 @@ def img02_line_boxes(spark, sf_dir):
         row = F.concat(gap(first + 10), word(first + 8), gap(48 - 18 - first * 2), word(second), gap(48 - second))
         return F.concat(F.repeat(blank, F.lit(5)), F.repeat(row, F.lit(6)), F.repeat(blank, F.lit(3)), rule, blank)
 
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("items"))
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("items"))
     pages = items.select("l_orderkey", F.size("items").alias("n"), (F.size("items") * 16).alias("height"), F.lit(96).alias("width"), F.lit(1).alias("channels"), F.array_join(F.transform("items", band), "").cast("binary").alias("pixels"))
     expected = F.when(F.col("l_orderkey") % 7 == 0, 2 * F.col("n") + 1).otherwise(F.col("n"))
     got = images.line_crops(pages.select(F.col("l_orderkey").cast("string").alias("path"), images.encode(pages).alias("content"), expected.alias("expected")))

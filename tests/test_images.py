@@ -219,3 +219,51 @@ def test_images_of_a_small_table_are_dealt_to_tasks(spark):
 
     for files in (formats._pdfs(spark, SF), __import__("quillspark.plans.images", fromlist=["_boxes"])._boxes(spark, SF)):
         assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def drawn(n, c=1):
+    """A page of n lines of two words with a rule below each."""
+    px = np.full((16 * n, 96, c), 230, np.uint8)
+    for y in range(0, 16 * n, 16):
+        px[y + 5 : y + 11, 10 : int(RNG.integers(20, 40))] = px[y + 5 : y + 11, 48 : int(RNG.integers(55, 90))] = 40
+        px[y + 14] = 40
+    return px
+
+
+def test_pages_of_one_size_are_cut_at_once(monkeypatch):
+    """The steps run once a size, not once a page, and give each page what it has alone; a torn file is its own error."""
+    pages = [drawn(3 + i % 2, (1, 3)[i % 4 == 3]) for i in range(60)] + [picture(48, 96) for _ in range(3)]
+    expected = [int(RNG.integers(0, 9)) for _ in pages]
+    alone = [images.page_lines(px, n) for px, n in zip(pages, expected)]
+    files = [n.to_bytes(4, "big") + png.encode(px) for px, n in zip(pages, expected)]
+    files[5] = files[5][:60]
+    calls, runs = [], images.runs
+    monkeypatch.setattr(images, "runs", lambda mask: calls.append(1) or runs(mask))
+    got = list(images.cut(iter(files)))
+    assert len(calls) == len({px.shape for px in pages}) == 3
+    assert isinstance(got.pop(5), ValueError) and {status[:3] for _, status in alone} >= {"ok", "too", "no_"}
+    for px, (boxes, status), rows in zip(pages[:5] + pages[6:], alone[:5] + alone[6:], got, strict=True):
+        assert [(r[0], r[1:5], r[5]) for r in rows] == ([(i, b, status) for i, b in enumerate(boxes, 1)] or [(None, (None,) * 4, status)])
+        assert all((png.decode(r[6]) == px[r[2] : r[4], r[1] : r[3]]).all() for r in rows if r[0])
+
+
+def test_many_images_have_the_bytes_of_one():
+    """Of any shapes and filters, equal ones among them; what can't be read has its error."""
+    px = [picture(*RNG.choice([(9, 7, 1), (9, 7, 3), (30, 4, 1), (1, 1, 1)]).tolist()) // int(RNG.integers(1, 90)) for _ in range(80)]
+    px += px[:9]
+    files = png.encode_many(px)
+    assert files == [png.encode(p) for p in px] and all((a == b).all() for a, b in zip(png.decode_many(files), px, strict=True))
+    odd = [plain_png(picture(11, 6, c), f, colour) for f in ([1], [2], [0, 2, 1], [4, 3], [7]) for colour, c in ((0, 1), (2, 3), (4, 2), (6, 4)) for _ in range(9)]
+    odd += [b"", files[0][:40], plain_png(px[0] % 4, [0], 3, bytes(12)), plain_png(px[0] % 4 + 9, [0], 3, bytes(12))]
+    for data, got in zip(odd, png.decode_many(odd), strict=True):
+        try:
+            assert (png.decode(data) == got).all()
+        except ValueError as e:
+            assert repr(got) == repr(e)
+    with pytest.raises(ValueError):
+        png.encode_many([px[0], np.zeros((2, 2, 2), np.uint8)])
+
+
+def test_orders_are_dealt_to_tasks(spark):
+    """Few splits hold the items and their shuffle is small; the pages drawn from them must not stay in few tasks."""
+    assert registry.QUERIES["img02_line_boxes"](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
